@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, quality, token_files, toxicity
+from framewright.llm import bpe, jaccard, quality, token_files, toxicity
 from framewright.llm.common import read_table
 
 
@@ -26,8 +26,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op9_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op10_rows(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op4_token_files": op4_token_files, "op8_quality": op8_quality, "op9_bpe": op9_bpe}
+    return {"op2_toxicity": op2_toxicity, "op4_token_files": op4_token_files, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

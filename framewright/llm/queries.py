@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, embedding_dedup, jaccard, quality, token_files, toxicity
+from framewright.llm import bpe, decontaminate, embedding_dedup, jaccard, quality, token_files, toxicity
 from framewright.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op4_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.op6_rows(read_table(spark, sf_dir, "embeddings"))
 
@@ -35,7 +39,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op4_token_files": op4_token_files, "op6_embedding_dedup": op6_embedding_dedup, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
+    return {"op2_toxicity": op2_toxicity, "op4_token_files": op4_token_files, "op5_decontamination": op5_decontamination, "op6_embedding_dedup": op6_embedding_dedup, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, decontaminate, embedding_dedup, jaccard, quality, token_files, toxicity
+from framewright.llm import bpe, chat, decontaminate, embedding_dedup, jaccard, quality, token_files, toxicity
 from framewright.llm.common import read_table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op1_rows(spark, read_table(spark, sf_dir, "conversations"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2_rows(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -39,8 +43,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op4_token_files": op4_token_files, "op5_decontamination": op5_decontamination, "op6_embedding_dedup": op6_embedding_dedup, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_chat_format": op1_chat_format, "op2_toxicity": op2_toxicity, "op4_token_files": op4_token_files, "op5_decontamination": op5_decontamination, "op6_embedding_dedup": op6_embedding_dedup, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": chat.OP1_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, chat, decontaminate, embedding_dedup, jaccard, quality, token_files, toxicity
+from framewright.llm import bpe, chat, decontaminate, embedding_dedup, html_text, jaccard, quality, token_files, toxicity
 from framewright.llm.common import read_table
 
 
@@ -30,6 +30,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.op6_rows(read_table(spark, sf_dir, "embeddings"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8_rows(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_format": op1_chat_format, "op2_toxicity": op2_toxicity, "op4_token_files": op4_token_files, "op5_decontamination": op5_decontamination, "op6_embedding_dedup": op6_embedding_dedup, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_chat_format": op1_chat_format, "op2_toxicity": op2_toxicity, "op4_token_files": op4_token_files, "op5_decontamination": op5_decontamination, "op6_embedding_dedup": op6_embedding_dedup, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,14 +11,17 @@ frames of those documents only.
 from __future__ import annotations
 
 import io
+import json
 import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,11 @@ MAGIC = 0x184D2A5E  # a skippable frame, by the zstandard format
 FOOTER = struct.Struct("<QIII8s")  # table start, frames, documents, crc32 of the table, mark
 MARK = b"TOKSEEK1"
 FRAME_IDS = 1 << 16
+#: White space other than the space and the line feed.
+ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+OTHER_SPACE = ASCII_SPACE + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+#: Fixed value: the published split pattern of byte-level pre-tokenisers.
+LATIN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 
 def write_shard(docs: Iterable[tuple[int, np.ndarray]], out, width: int = 2, frame_ids: int = FRAME_IDS, level: int = 3) -> int:
@@ -134,28 +142,41 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class CachedTokenizer:
-    """The tokenizers library over a byte-level vocabulary, calling it once per distinct word.
+    """The tokenizers library over a byte-level vocabulary, called once per distinct word.
 
     In such a vocabulary no pre-token spans a single space between two characters that are not white
     space, and what follows is pre-tokenised alike wherever it stands.  So a text is cut there, each
-    distinct piece is encoded by the library, and its ids are kept in a bounded table.
+    distinct piece is encoded by the library, and its ids are kept, as bytes, in two tables of
+    bounded size: when the younger is full it becomes the older, so frequent pieces stay.
     """
 
-    def __init__(self, path: str, memory: int = 600_000) -> None:
+    def __init__(self, path: str, width: int = 4, memory: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        pre = config.get("pre_tokenizer") or {}
+        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or config.get("normalizer"):
+            raise ValueError("not a plain byte-level vocabulary")
+        # for Latin text the library's model is called directly on pre-tokens in its byte alphabet
+        self.model = self.tool.model if pre.get("use_regex", True) else None
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.kind = "H" if width == 2 else "I"
         self.memory = memory
-        self.known: dict[str, np.ndarray] = {}
+        self.young: dict = {}
+        self.old: dict = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """Parts of ``text``: all but the first start with their space; joined they are ``text``."""
+        """Parts of ``text``, cut at spaces; joined by a space they are ``text``, and all but the first stand for it too."""
         parts = text.split(" ")
         # next to other white space a space isn't a safe place to cut: join those parts again
-        if not all(parts) or any(p[0].isspace() or p[-1].isspace() for p in parts):
+        if not all(parts) or " \n" in text or "\n " in text or any(c in text for c in (ASCII_SPACE if text.isascii() else OTHER_SPACE)):
             out = [parts[0]]
             for p in parts[1:]:
                 last = out[-1]
@@ -164,24 +185,40 @@ class CachedTokenizer:
                 else:
                     out[-1] = f"{last} {p}"
             parts = out
-        return parts[:1] + [" " + p for p in parts[1:]]
-
-    def encode(self, text: str) -> np.ndarray:
+        return parts
+
+    def new(self, piece: str) -> bytes:
+        """Ids of a piece that is in no table; of Latin text only its new pre-tokens are encoded."""
+        if self.model is None or max(piece) >= "\u0250":
+            return array(self.kind, self.tool.encode(piece, add_special_tokens=False).ids).tobytes()
+        if piece[1:].isalpha() and piece[0] == " ":
+            return self.word(piece)
+        known, old = self.young, self.old
+        out = []
+        for w in LATIN.findall(piece):
+            # a word after a space is kept as the piece that it would be alone
+            name = w[1:] if w[0] == " " and len(w) > 1 else (w,)
+            ids = known.get(name) or old.get(name) or self.word(w)
+            known[name] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def word(self, w: str) -> bytes:
+        return array(self.kind, [t.id for t in self.model.tokenize(w.encode("utf-8").decode("latin-1").translate(self.alphabet))]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids of ``text`` as little-endian unsigned integers."""
         if not text:
-            return np.zeros(0, np.uint32)
-        known = self.known
-        pieces = self.pieces(text)
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + len(new) > self.memory:
-            known.clear()
-            new = list(dict.fromkeys(pieces))
-        if new:
-            for p, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = e.ids
-        ids: list[int] = []
-        for p in pieces:
-            ids += known[p]
-        return np.array(ids, np.uint32)
+            return b""
+        parts = self.pieces(text)
+        first, parts = parts[0], parts[1:]
+        young, old = self.young, self.old
+        for p in [p for p in parts if p not in young]:
+            young[p] = old.get(p) or self.new(" " + p)
+        out = (self.new(first) if first else b"") + b"".join(map(young.__getitem__, parts))
+        if len(young) > self.memory:
+            self.old, self.young = young, {}
+        return out
 
 
 def default_tokenizer() -> str:
@@ -206,12 +243,11 @@ def write_token_files(docs: DataFrame, out_dir: str, *, tokenizer: str | None =
     cuts = sorted(set(cuts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = CachedTokenizer(tokenizer)
-        kind = "<u2" if width == 2 else "<u4"
-        tail = np.array([] if end_id is None else [end_id], np.uint32)
+        tool = CachedTokenizer(tokenizer, width)
+        tail = array(tool.kind, [] if end_id is None else [end_id]).tobytes()
         for b in batches:
             shard = np.searchsorted(np.array(cuts, dtype=np.int64), b["doc_id"].fill_null(-(2**63)).to_numpy(), side="left")
-            data = [np.concatenate([tool.encode(t or ""), tail]).astype(kind).tobytes() for t in b["text"].to_pylist()]
+            data = [tool.encode(t or "") + tail for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b["doc_id"], pa.array(data, pa.binary())], ["shard", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, chat, decontaminate, embedding_dedup, html_text, jaccard, quality, token_files, toxicity
+from framewright.llm import bpe, chat, decontaminate, edit_counts, embedding_dedup, html_text, jaccard, quality, token_files, toxicity
 from framewright.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2_rows(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.op3_rows(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op4_rows(read_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_format": op1_chat_format, "op2_toxicity": op2_toxicity, "op4_token_files": op4_token_files, "op5_decontamination": op5_decontamination, "op6_embedding_dedup": op6_embedding_dedup, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_chat_format": op1_chat_format, "op2_toxicity": op2_toxicity, "op3_edit_counts": op3_edit_counts, "op4_token_files": op4_token_files, "op5_decontamination": op5_decontamination, "op6_embedding_dedup": op6_embedding_dedup, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

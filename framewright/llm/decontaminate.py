@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -206,26 +207,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits())
     return out
 
 
-def flag_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Rows of ``docs`` in whose text no item is found, decided row by row where the text is: nothing is shuffled."""
+def without_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Rows of ``docs`` in whose text no item is found, decided where the text is read: nothing is shuffled."""
     clean = docs
     for index in index_blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator, held=held) -> Iterator:
-            tool = Searcher(held.value, limits)
-            for texts in batches:
-                yield texts.map(lambda t: not tool.leaks(t)).astype(bool)
-
-        clean = clean.where(_boolean(run)(F.col("text")))
+        clean = clean.where(_free(docs.sparkSession.sparkContext.broadcast(index), limits)(F.col("text")))
     return clean
 
 
-def _boolean(run):
-    import pandas as pd
-
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return run(batches)
+def _free(held, limits: Limits):
+    @F.pandas_udf("boolean")
+    def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tool = Searcher(held.value, limits)
+        for texts in batches:
+            yield pd.Series([not tool.leaks(t) for t in texts], dtype=bool)
 
-    typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(typed, "boolean")
+    return free

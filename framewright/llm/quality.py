@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.common import fit_logistic, held_out, labelled_sample
@@ -103,14 +103,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, per_class: int = 1200, ch
     return QualityModel(good, bad, tuple(map(float, fit_logistic(x, test["y"].to_numpy(), l2=1e-4))))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 where score >= threshold); columns of these names are replaced.
-
-    Null and empty texts get the score of a zero difference and rate.  Ties, repeated rows and null ids are
-    scored like any other row; the table may be empty.
-    """
-
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score_column(spark: SparkSession, model: QualityModel):
+    """A function from a text column to its score column; the model is broadcast once."""
+    held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -119,6 +114,17 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
         for texts in batches:
             yield pd.Series([tool.score(t) if tool else 0.5 for t in texts], dtype="float64")
 
+    return score
+
+
+def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted`` (1 where score >= threshold); columns of these names are replaced.
+
+    Null and empty texts get the score of a zero difference and rate.  Ties, repeated rows and null ids are
+    scored like any other row; the table may be empty.
+    """
+
+    score = score_column(docs.sparkSession, model)
     return docs.withColumn("score", score(F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.common import fit_logistic, held_out, labelled_sample
@@ -333,12 +333,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -
     return ToxicModel(words, stems, tuple(map(float, w)), banned)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 where score >= threshold); columns of these names are replaced.
-
-    Null and empty texts have no hits and get the score of a clean text.  Texts are read whole.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score_column(spark: SparkSession, model: ToxicModel):
+    """A function from a text column to its score column; the model is broadcast once."""
+    held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -346,6 +343,15 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -
         for texts in batches:
             yield pd.Series([tool.score(t) for t in texts], dtype="float64")
 
+    return score
+
+
+def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted`` (1 where score >= threshold); columns of these names are replaced.
+
+    Null and empty texts have no hits and get the score of a clean text.  Texts are read whole.
+    """
+    score = score_column(docs.sparkSession, model)
     return docs.withColumn("score", score(F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -36,7 +36,7 @@ def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     """Adds name, digest, length and error: null, or what is wrong with the line.  Blank lines are dropped."""
     parts = F.split(F.col(column), " ", -1)
     name, digest, length = (F.get(parts, F.lit(i)) for i in range(3))
-    number = F.ltrim(F.lit("0"), length)
+    number = F.ltrim(length, F.lit("0"))
     error = (
         F.when(F.size(parts) != 3, "fields")
         .when(~name.rlike(FILE_NAME), "name")

@@ -125,3 +125,118 @@ def mux(e: dict, frames: list[bytes]) -> bytes:
 def media(e: dict) -> bytes:
     coder = FrameCoder(e)
     return mux(e, [coder.frame(n) for n in range(e["frame_count"])])
+
+
+# ---------------------------------------------------------------- DataFrames
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """(ord, name, frame_count, pixels) of all entries.  The greedy cover is sequential and small (1419 pairs): it runs on the driver."""
+    rows = ct.entries([tuple(r) for r in ct.pair_obligations(spark).collect()])
+    data = [(i, ct.entry_name(e), e["frame_count"], e["dimensions"][0] * e["dimensions"][1]) for i, e in enumerate(rows)]
+    return spark.createDataFrame(data, "ord int, name string, frame_count long, pixels long")
+
+
+def frame_ranges(entries: DataFrame, width: int = RANGE) -> DataFrame:
+    """(name, first, last) in pieces of at most ``width`` frames, so that long clips are many tasks' work."""
+    e = entries.where("name is not null").select("name", "frame_count")
+    start = SF.explode(SF.sequence(SF.lit(0).cast("long"), SF.col("frame_count") - 1, SF.lit(width).cast("long")))
+    return e.select("name", "frame_count", start.alias("first")).select("name", "first", SF.least(SF.col("first") + width, "frame_count").alias("last"))
+
+
+def encoded_ranges(entries: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(name, first, media, manifest): encoded frames of each range, and their part of the manifest.
+
+    ``media`` holds the frames' bytes one after another with their sizes in ``sizes``.
+    """
+    ranges = frame_ranges(entries)
+    n = tasks or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder: FrameCoder | None = None
+        for b in batches:
+            for name, first, last in zip(b["name"].to_pylist(), b["first"].to_pylist(), b["last"].to_pylist(), strict=True):
+                if coder is None or ct.entry_name(coder.entry) != name:
+                    coder = FrameCoder(parse_name(name))
+                frames = [coder.frame(k) for k in range(first, last)]
+                text = ",".join(canonical(frame_json(coder.scene, k, coder.walks)) for k in range(first, last))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([[len(f) for f in frames]], pa.list_(pa.int64())), pa.array([b"".join(frames)], pa.binary()), pa.array([text])], ["name", "first", "sizes", "media", "manifest"])
+
+    dealt = ranges.repartition(n, SF.xxhash64("name", "first"))
+    return dealt.mapInArrow(run, "name string, first long, sizes array<long>, media binary, manifest string")
+
+
+def artifact_bytes(entries: DataFrame) -> DataFrame:
+    """(name, content, error): two files per entry, its manifest and its media.
+
+    Ranges meet per entry, at most about 30 MB by the catalogue's cap on pixels times frames.  What
+    fails in one entry is told in its row and leaves the others alone.
+    """
+
+    def run(key, table):
+        name = key[0].as_py()
+        rows = sorted(zip(table["first"].to_pylist(), table["sizes"].to_pylist(), table["media"].to_pylist(), table["manifest"].to_pylist(), strict=True))
+        try:
+            e = parse_name(name)
+            head = canonical(head_json(name, e, ct.scene_of(e)) | {"frames": []})
+            text = head.replace('"frames":[]', '"frames":[' + ",".join(r[3] for r in rows) + "]", 1)
+            frames, at = [], 0
+            for _, sizes, data, _ in rows:
+                at = 0
+                for n in sizes:
+                    frames.append(data[at : at + n])
+                    at += n
+            out = [(f"{name}.json", text.encode(), None), (ct.media_name(e), mux(e, frames), None)]
+        except (ValueError, ArithmeticError) as err:
+            out = [(name, None, f"{type(err).__name__}: {err}")]
+        return pa.table({"name": pa.array([o[0] for o in out], pa.string()), "content": pa.array([o[1] for o in out], pa.binary()), "error": pa.array([o[2] for o in out], pa.string())})
+
+    return encoded_ranges(entries).groupBy("name").applyInArrow(run, "name string, content binary, error string")
+
+
+def artifacts(entries: DataFrame) -> DataFrame:
+    """(name, digest, length) of all artifacts; digests are taken in the task that builds the bytes."""
+    from framewright.operators.lockfile import digests
+
+    return digests(artifact_bytes(entries).where("error is null"))
+
+
+def select_entries(entries: DataFrame, only: list[str], strict: bool = False) -> DataFrame:
+    """Entries by name, all if none is asked for; with ``strict`` a name that there is not raises."""
+    if not only:
+        return entries
+    want = entries.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(only)], "name string")
+    if strict and (unknown := [r[0] for r in want.join(entries, "name", "left_anti").collect()]):
+        raise ValueError(f"no entry is called {', '.join(sorted(unknown))}")
+    return entries.join(SF.broadcast(want), "name", "left_semi")
+
+
+def publish(entries: DataFrame, out_dir: str, dry_run: bool = False) -> DataFrame:
+    """Write each artifact to ``out_dir`` under its name; (name, length, error), one row a file.
+
+    A file is written beside its place and moved there when whole, so that no reader meets half of
+    one.  With ``dry_run`` all is made and nothing written.  ``out_dir`` is any URI that Arrow's file
+    systems know.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        place, base = fs.FileSystem.from_uri(out_dir) if "://" in out_dir else (fs.LocalFileSystem(), out_dir)
+        if not dry_run:
+            place.create_dir(base, recursive=True)
+        for b in batches:
+            errors = []
+            for name, content, error in zip(b["name"].to_pylist(), b["content"].to_pylist(), b["error"].to_pylist(), strict=True):
+                if error is None and not dry_run:
+                    try:
+                        with place.open_output_stream(f"{base}/{name}.tmp") as f:
+                            f.write(content)
+                        place.move(f"{base}/{name}.tmp", f"{base}/{name}")
+                    except OSError as err:
+                        error = str(err)
+                errors.append(error)
+            lengths = [None if x is None else len(x) for x in b["content"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["name"], pa.array(lengths, pa.int64()), pa.array(errors, pa.string())], ["name", "length", "error"])
+
+    return artifact_bytes(entries).mapInArrow(run, "name string, length long, error string")

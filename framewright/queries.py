@@ -432,3 +432,387 @@ def pixel_overdraw_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all that paint a pixel the last in order shows; partial aggregation does the work."""
     t = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 64).alias("x"), (F.col("l_suppkey") * 7 % 64).alias("y"), "l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"))
     return t.groupBy("x", "y").agg(F.max_by("l_suppkey", "k").alias("colour"), F.max("k").alias("painted_by"))
+
+
+# ---------------------------------------------------------------- JPEG
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, greatest(0, least(255, (77 * r + 150 * g + 29 * b + 128) >> 8)) AS y,
+  greatest(0, least(255, floor((-43 * r - 85 * g + 128 * b + 128) / 256.0)::BIGINT + 128)) AS cb, greatest(0, least(255, floor((128 * r - 107 * g - 21 * b + 128) / 256.0)::BIGINT + 128)) AS cr
+FROM (SELECT l_orderkey, l_linenumber, l_partkey % 256 AS r, l_suppkey % 256 AS g, l_orderkey % 256 AS b FROM lineitem)
+""")
+def rgb_to_ycbcr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour planes by weights in 256ths, shifted down (floor) and clamped."""
+    y, cb, cr = c.ycbcr(F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_orderkey") % 256)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", y.alias("y"), cb.alias("cb"), cr.alias("cr"))
+
+
+@query("""
+SELECT k, y // 2 AS y, x // 2 AS x, (sum(v) + count(*) // 2) // count(*) AS v FROM (
+SELECT o_orderkey // 195 AS k, o_orderkey % 195 // 15 AS y, o_orderkey % 15 AS x, o_custkey % 256 AS v FROM orders) GROUP BY k, y // 2, x // 2
+""")
+def chroma_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of 2x2 boxes of 15 by 13 planes, rounded half up; edges have one or two samples."""
+    o = F.col("o_orderkey")
+    t = table(spark, sf_dir, "orders").select(c.div(o, 195).alias("k"), c.div(c.div(o % 195, 15), 2).alias("y"), c.div(o % 15, 2).alias("x"), (F.col("o_custkey") % 256).alias("v"))
+    return t.groupBy("k", "y", "x").agg(c.div(F.sum("v") + c.div(F.count("*"), 2), F.count("*")).alias("v"))
+
+
+def _cosines() -> list[tuple[int, int, int]]:
+    from framewright.functions.jpeg import COSINES
+
+    return [(u, x, int(COSINES[u, x])) for u in range(8) for x in range(8)]
+
+
+_SAMPLES = """SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, greatest(0, least(255, floor(embedding[i]::DOUBLE * 128)::BIGINT + 128)) - 128 AS s FROM embeddings, range(1, 65) t(i)"""
+
+
+def _dct_sql() -> str:
+    values = ", ".join(str(t) for t in _cosines())
+    from framewright.functions.jpeg import LUMA_STEPS, ZIGZAG
+
+    zig = ", ".join(f"({int(r)}, {k})" for k, r in enumerate(ZIGZAG))
+    step = ", ".join(f"({i}, {max(1, min(255, (q * 50 + 50) // 100))})" for i, q in enumerate(LUMA_STEPS))
+    return f"""
+WITH cosines(u, x, c) AS (VALUES {values}), zig(r, k) AS (VALUES {zig}), step(r, q) AS (VALUES {step}), s AS ({_SAMPLES}),
+a AS (SELECT vec_id, y, u, sum(s * c)::BIGINT AS t FROM s JOIN cosines USING (x) GROUP BY vec_id, y, u),
+d AS (SELECT vec_id, v.u AS v, a.u AS u, sum(t * c)::BIGINT AS t FROM a JOIN cosines v ON v.x = a.y GROUP BY vec_id, v.u, a.u),
+f AS (SELECT vec_id, v * 8 + u AS r, sign(t)::BIGINT * (abs(t) // CASE WHEN u = 0 AND v = 0 THEN 34359738368 WHEN u = 0 OR v = 0 THEN 24296030208 ELSE 17179869184 END) AS coef FROM d)
+SELECT vec_id, k, coef, sign(coef)::BIGINT * ((abs(coef) + (q >> 1)) // q) AS level FROM f JOIN zig USING (r) JOIN step USING (r)"""
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, k, coef, level): blocks of 8 by 8 samples transformed, quantised and put in zigzag order."""
+    import numpy as np
+    import pandas as pd
+
+    from framewright.functions import jpeg
+
+    sample = F.transform("embedding", lambda e: F.greatest(c.lit(0), F.least(c.lit(255), F.floor(e.cast("double") * 128) + 128)) - 128)
+    blocks = table(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", sample.alias("s"))
+
+    def transform(batches):
+        # one matrix product for a batch of blocks
+        for pdf in batches:
+            x = np.stack(pdf["s"].to_numpy()).reshape(-1, 8, 8) if len(pdf) else np.zeros((0, 8, 8), np.int64)
+            coef = jpeg.forward_dct(x)
+            level = jpeg.half_away(coef, jpeg.steps(75, False).reshape(8, 8))
+            n = len(pdf)
+            yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), 64), "k": np.tile(np.arange(64), n), "coef": coef.reshape(n, 64)[:, jpeg.ZIGZAG].ravel(), "level": level.reshape(n, 64)[:, jpeg.ZIGZAG].ravel()})
+
+    return blocks.mapInPandas(transform, "vec_id long, k long, coef long, level long")
+
+
+@query(_dct_sql())
+def block_dct_quant_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The integer transform, truncated; levels rounded half away; zigzag order."""
+    return _levels(spark, sf_dir)
+
+
+@query(f"""
+SELECT vec_id, coalesce(level - lag(level) OVER (ORDER BY vec_id), level) AS delta FROM ({_dct_sql().strip()}) WHERE k = 0
+""")
+def dc_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of the mean levels of blocks in scan order, per scan of 64 blocks in parallel."""
+    dc = _levels(spark, sf_dir).where("k = 0").select("vec_id", "level")
+    # the previous block may lie in another scan: each scan gets the block before it along
+    scans = dc.select((F.floor(F.col("vec_id") / 64)).alias("scan"), "vec_id", "level", F.lit(True).alias("own"))
+    edge = dc.where("vec_id % 64 = 63").select((F.floor(F.col("vec_id") / 64) + 1).alias("scan"), "vec_id", "level", F.lit(False).alias("own"))
+    w = Window.partitionBy("scan").orderBy("vec_id")
+    return scans.unionAll(edge).withColumn("delta", F.coalesce(F.col("level") - F.lag("level").over(w), F.col("level"))).where("own").select("vec_id", "delta")
+
+
+@query(f"""
+SELECT vec_id, k, level, k - 1 - coalesce(lag(k) OVER (PARTITION BY vec_id ORDER BY k), 0) AS run, length(bin(abs(greatest(-1023, least(1023, level))))) AS size,
+  CASE WHEN level > 0 THEN least(1023, level) ELSE greatest(-1023, level) + (1 << length(bin(abs(greatest(-1023, level))))) - 1 END AS bits
+FROM ({_dct_sql().strip()}) WHERE k > 0 AND level <> 0
+""")
+def ac_run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero runs before each level that is not zero, its size category and its bits."""
+    w = Window.partitionBy("vec_id").orderBy("k")
+    t = _levels(spark, sf_dir).where("k > 0 and level <> 0")
+    v = F.greatest(c.lit(-1023), F.least(c.lit(1023), F.col("level")))
+    size = F.length(F.bin(F.abs(v))).cast("long")
+    bits = F.when(v > 0, v).otherwise(v + F.expr("shiftleft(1L, length(bin(abs(greatest(-1023L, level)))))") - 1)
+    return t.select("vec_id", "k", "level", (F.col("k") - 1 - F.coalesce(F.lag("k").over(w), c.lit(0))).alias("run"), size.alias("size"), bits.alias("bits"))
+
+
+@query("""
+WITH RECURSIVE lens(n, many) AS (VALUES (1, 0), (2, 1), (3, 5), (4, 1), (5, 1), (6, 1), (7, 1), (8, 1), (9, 1), (10, 0), (11, 0), (12, 0), (13, 0), (14, 0), (15, 0), (16, 0)),
+firsts(n, code, before) AS (SELECT 1, 0, 0 UNION ALL SELECT f.n + 1, (f.code + l.many) * 2, f.before + l.many FROM firsts f JOIN lens l ON l.n = f.n WHERE f.n < 16)
+SELECT (f.before + i)::BIGINT AS symbol, (f.code + i)::BIGINT AS code, f.n::BIGINT AS length FROM firsts f JOIN lens l USING (n), range(8) t(i) WHERE i < l.many
+""")
+def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical codes of the luma DC table from its counts of code lengths."""
+    from framewright.functions import jpeg
+
+    rows = [(s, code, n) for s, (code, n) in jpeg.codes(jpeg.DC_LENGTHS[0], jpeg.DC_SYMBOLS).items()]
+    return spark.createDataFrame(rows, "symbol long, code long, length long")
+
+
+@query("""
+SELECT q, r, greatest(1, least(255, (s * CASE WHEN q >= 100 THEN 2 WHEN q < 50 THEN least(256, 5000 // q) ELSE 200 - 2 * q END + 50) // 100)) AS step
+FROM range(1, 101) a(q), (VALUES (0, 16), (1, 11), (7, 61), (63, 99), (61, 100)) t(r, s)
+""")
+def quant_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiser steps of five cells at all qualities."""
+    cells = spark.createDataFrame([(0, 16), (1, 11), (7, 61), (63, 99), (61, 100)], "r int, s long")
+    q, s = F.col("q"), F.col("s")
+    scale = F.when(q >= 100, 2).when(q < 50, F.least(c.lit(256), c.div(c.lit(5000), q))).otherwise(200 - 2 * q)
+    return spark.range(1, 101).toDF("q").join(F.broadcast(cells)).select("q", "r", F.greatest(c.lit(1), F.least(c.lit(255), c.div(s * scale + 50, 100))).alias("step"))
+
+
+# ---------------------------------------------------------------- bytes and containers
+
+
+@query("""
+SELECT doc_id, size, sum(size) OVER w - size + 48 AS frame_offset, total, total <= 4294967295 AS fits FROM (
+SELECT doc_id, doc_id // 100 AS grp, octet_length(encode(text)) AS size, sum(octet_length(encode(text))) OVER (PARTITION BY doc_id // 100)::BIGINT AS total FROM documents)
+WINDOW w AS (PARTITION BY grp ORDER BY doc_id ROWS UNBOUNDED PRECEDING)
+""")
+def sample_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk offsets as running sums of sample sizes, and the payload's 32-bit check."""
+    d = table(spark, sf_dir, "documents").select("doc_id", c.div(F.col("doc_id"), 100).alias("grp"), F.octet_length("text").cast("long").alias("size"))
+    total = F.sum("size").over(Window.partitionBy("grp"))
+    return d.select("doc_id", "size", (mo.running_sum(d, "size", ["grp"], ["doc_id"], exclusive=True) + 48).alias("frame_offset"), total.alias("total"), (total <= 4294967295).alias("fits"))
+
+
+@query("""
+SELECT o_orderkey, lower(lpad(to_hex(o_orderkey), 8, '0')) AS be, regexp_replace(lower(lpad(to_hex(o_orderkey), 8, '0')), '^(..)(..)(..)(..)$', '\\4\\3\\2\\1') AS le,
+  CASE WHEN o_custkey % 3 = 0 THEN 'avi' WHEN o_orderkey BETWEEN 8 AND 4096 THEN 'iso' ELSE 'neither' END AS format FROM orders
+""")
+def u32_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32-bit fields in both orders; formats told by the first bytes of a 4096-byte file."""
+    k = F.col("o_orderkey")
+    head = F.unhex(F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("52494646"), c.hex_u32(k), F.lit("41564920"))).otherwise(F.concat(c.hex_u32(k), F.lit("66747970"), F.lit("69736f6d"))))
+    size = F.conv(F.hex(F.substring("head", 1, 4)), 16, 10).cast("long")
+    iso = size.between(8, 4096)
+    avi = (F.hex(F.substring("head", 1, 4)) == "52494646") & (F.hex(F.substring("head", 9, 4)) == "41564920")
+    return table(spark, sf_dir, "orders").withColumn("head", head).select("o_orderkey", c.hex_u32(k).alias("be"), c.hex_u32(k, little=True).alias("le"), F.when(iso, "iso").when(avi, "avi").otherwise("neither").alias("format"))
+
+
+@query("""
+SELECT doc_id, md5(h[:2 * cut]) AS truncated, md5(h[:16] || '00000008' || h[25:]) AS overwritten, md5(h || h[17:32]) AS duplicated,
+  md5(h[:16] || h[33:48] || h[17:32] || h[49:]) AS swapped FROM (SELECT doc_id, lower(hex(encode(text))) AS h, least(octet_length(encode(text)), doc_id % 50 + 1) AS cut FROM documents WHERE octet_length(encode(text)) >= 32)
+""")
+def fault_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1-D15 where offsets are known: cutting, overwriting, copying and swapping bytes, on hexadecimal text."""
+    d = table(spark, sf_dir, "documents").where(F.octet_length("text") >= 32)
+    h = F.lower(F.hex(F.encode("text", "utf-8")))
+    d = d.select("doc_id", h.alias("h"), F.least(F.octet_length("text"), F.col("doc_id") % 50 + 1).cast("int").alias("cut"))
+    part = lambda a, n: F.col("h").substr(F.lit(a), F.lit(n))
+    rest = 2**31 - 1
+    return d.select(
+        "doc_id", F.md5(F.col("h").substr(F.lit(1), 2 * F.col("cut"))).alias("truncated"), F.md5(F.concat(part(1, 16), F.lit("00000008"), part(25, rest))).alias("overwritten"),
+        F.md5(F.concat("h", part(17, 16))).alias("duplicated"), F.md5(F.concat(part(1, 16), part(33, 16), part(17, 16), part(49, rest))).alias("swapped"),
+    )
+
+
+@query("""
+SELECT turn, w, (list_transform([a, b, 0, c, d, 0, x, y], lambda v: CASE WHEN v < 0 THEN 4294967296 + v * 65536 ELSE v * 65536 END))::VARCHAR AS words FROM (
+SELECT p_partkey AS w, turn, a, b, c, d, CASE kx WHEN 'h' THEN p_size WHEN 'w' THEN p_partkey ELSE 0 END AS x, CASE ky WHEN 'h' THEN p_size WHEN 'w' THEN p_partkey ELSE 0 END AS y FROM part,
+(VALUES ('identity', 1, 0, 0, 1, '', ''), ('rot90', 0, 1, -1, 0, 'h', ''), ('rot180', -1, 0, 0, -1, 'w', 'h'), ('rot270', 0, -1, 1, 0, '', 'w')) t(turn, a, b, c, d, kx, ky))
+""")
+def track_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-point matrices of the four display turns, as unsigned words."""
+    turns = spark.createDataFrame([("identity", 1, 0, 0, 1, "", ""), ("rot90", 0, 1, -1, 0, "h", ""), ("rot180", -1, 0, 0, -1, "w", "h"), ("rot270", 0, -1, 1, 0, "", "w")], "turn string, a long, b long, c long, d long, kx string, ky string")
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("w"), F.col("p_size").cast("long").alias("h")).join(F.broadcast(turns))
+    move = lambda k: F.when(F.col(k) == "h", F.col("h")).when(F.col(k) == "w", F.col("w")).otherwise(c.lit(0))
+    nine = F.array("a", "b", c.lit(0), "c", "d", c.lit(0), move("kx"), move("ky"))
+    words = F.transform(nine, lambda v: F.when(v < 0, v * 65536 + 4294967296).otherwise(v * 65536).cast("string"))
+    return t.select("turn", "w", F.concat(F.lit("["), F.array_join(words, ", "), F.lit("]")).alias("words"))
+
+
+# ---------------------------------------------------------------- digests, lockfiles, verification
+
+_FILES = "SELECT 'doc-' || doc_id || '.txt' AS name, sha256(text) AS digest, octet_length(encode(text)) AS length FROM documents"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").alias("content"))
+    return lk.digests(d)
+
+
+@query(f"SELECT name || ' ' || digest || ' ' || length AS line FROM ({_FILES}) ORDER BY name")
+def lockfile_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and lengths of artifacts as lockfile lines in bytewise order of name."""
+    return lk.lockfile_lines(_files(spark, sf_dir))
+
+
+@query(f"""SELECT sha256(string_agg(name || ' ' || digest || ' ' || length || chr(10), '' ORDER BY name)) AS digest, count(*) AS n FROM ({_FILES})""")
+def lockfile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2, O3: the lines concatenated in order, and the digest of the file they make."""
+    f = _files(spark, sf_dir)
+    return lk.lockfile_text(f).select(F.sha2("text", 256).alias("digest"), F.length(F.regexp_replace("text", "[^\n]", "")).cast("long").alias("n"))
+
+
+_LINES = """SELECT CASE doc_id % 7 WHEN 0 THEN 'doc ' || doc_id || '.txt' || digest WHEN 1 THEN 'Doc_' || doc_id || '.txt ' || digest || ' 7' WHEN 2 THEN 'doc-1.txt ' || upper(digest) || ' 7'
+  WHEN 3 THEN 'doc-1.txt ' || digest || ' 18446744073709551616' WHEN 4 THEN '  ' ELSE 'doc-' || doc_id || '.txt ' || digest || ' ' || doc_id END AS line FROM (SELECT doc_id, sha256(text || '!') AS digest FROM documents)"""
+
+
+@query(f"""
+SELECT line, CASE WHEN len(p) <> 3 THEN 'fields' WHEN NOT regexp_matches(p[1], '^[a-z0-9-]+\\.[a-z0-9]+$') THEN 'name' WHEN NOT regexp_matches(p[2], '^[0-9a-f]{{64}}$') THEN 'digest'
+  WHEN NOT regexp_matches(p[3], '^[0-9]+$') OR try_cast(p[3] AS UBIGINT) IS NULL THEN 'length' END AS error FROM (SELECT line, string_split(line, ' ') AS p FROM ({_LINES}) WHERE trim(line) <> '')
+""")
+def lockfile_parse_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines checked field by field; blank lines dropped."""
+    d, digest = F.col("doc_id"), F.sha2(F.concat("text", F.lit("!")), 256)
+    text = lambda *x: F.concat(*[y.cast("string") if not isinstance(y, str) else F.lit(y) for y in x])
+    line = (
+        F.when(d % 7 == 0, text("doc ", d, ".txt", digest)).when(d % 7 == 1, text("Doc_", d, ".txt ", digest, " 7")).when(d % 7 == 2, text("doc-1.txt ", F.upper(digest), " 7"))
+        .when(d % 7 == 3, text("doc-1.txt ", digest, " 18446744073709551616")).when(d % 7 == 4, F.lit("  ")).otherwise(text("doc-", d, ".txt ", digest, " ", d))
+    )
+    return lk.parse_lines(table(spark, sf_dir, "documents").select(line.alias("line"))).select("line", "error")
+
+
+_ACTUAL = f"""SELECT CASE WHEN i % 11 = 3 THEN 'new-' || name ELSE name END AS name, CASE WHEN i % 13 = 5 THEN sha256(digest) ELSE digest END AS digest, CASE WHEN i % 17 = 2 THEN length + 1 ELSE length END AS length
+FROM (SELECT *, length AS i FROM ({_FILES})) WHERE i % 19 <> 4"""
+
+
+def _actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, f = F.col("length"), _files(spark, sf_dir)
+    return f.where(i % 19 != 4).select(F.when(i % 11 == 3, F.concat(F.lit("new-"), F.col("name"))).otherwise(F.col("name")).alias("name"), F.when(i % 13 == 5, F.sha2("digest", 256)).otherwise(F.col("digest")).alias("digest"), F.when(i % 17 == 2, i + 1).otherwise(i).alias("length"))
+
+
+_DIFF = f"""SELECT u.kind, coalesce(e.name, a.name) AS name, CASE u.kind WHEN 'digest' THEN e.digest WHEN 'length' THEN e.length::VARCHAR END AS expected, CASE u.kind WHEN 'digest' THEN a.digest WHEN 'length' THEN a.length::VARCHAR END AS actual
+FROM ({_FILES}) e FULL OUTER JOIN ({_ACTUAL}) a ON e.name = a.name, (VALUES ('missing'), ('extra'), ('digest'), ('length')) u(kind)
+WHERE CASE u.kind WHEN 'missing' THEN a.name IS NULL WHEN 'extra' THEN e.name IS NULL WHEN 'digest' THEN e.digest <> a.digest ELSE e.length <> a.length END"""
+
+
+@query(_DIFF)
+def lockfile_verify_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between an expected and an actual corpus."""
+    return lk.differences(_files(spark, sf_dir), _actual(spark, sf_dir))
+
+
+@query(f"""SELECT (SELECT count(*) FROM ({_FILES})) AS verified, (SELECT count(*) FROM ({_FILES})) - count(DISTINCT name) AS matched, count(DISTINCT name) AS failed FROM ({_DIFF}) WHERE kind <> 'extra'""")
+def verify_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of names verified, matched and failed."""
+    e = _files(spark, sf_dir)
+    return lk.summary(e, lk.differences(e, _actual(spark, sf_dir)))
+
+
+@query("SELECT sha256(text) AS name, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that stand more than once."""
+    return lk.duplicate_names(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("name")))
+
+
+# ---------------------------------------------------------------- the catalogue
+
+
+def _axis_case(sql: str, values: tuple) -> str:
+    return f"CASE {sql} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+_AX = ct.AXES
+_NAME_SQL = f"""SELECT o_orderkey, printf('%04dx%04d', w::BIGINT, h::BIGINT) || '-' || n || '-' || r || '-' || bg || '-' || sh || '-' || m || '-' || cod || '-' || con || '-' || tm || '-' || sc || '-' || de AS name, con FROM (
+SELECT o_orderkey, (o_orderkey * 13 % 1920 + 1) AS w, (o_orderkey * 7 % 1080 + 1) AS h, o_custkey % 100 + 1 AS n, {_axis_case('o_orderkey % 6', _AX['rate'])} AS r, {_axis_case('o_orderkey % 5', _AX['background'])} AS bg, {_axis_case('o_orderkey % 4', _AX['shape'])} AS sh,
+{_axis_case('o_custkey % 6', _AX['motion'])} AS m, {_axis_case('o_custkey % 2', _AX['coding'])} AS cod, {_axis_case('o_orderkey % 2', _AX['container'])} AS con, {_axis_case('o_custkey % 4', _AX['track_matrix'])} AS tm, {_axis_case('o_orderkey // 2 % 2', _AX['scale'])} AS sc, {_axis_case('o_orderkey % 17', _AX['defect'])} AS de FROM orders)"""
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda x, axis: F.get(F.array(*[F.lit(v) for v in _AX[axis]]), x.cast("int"))
+    size = F.format_string("%04dx%04d", o * 13 % 1920 + 1, o * 7 % 1080 + 1)
+    parts = [pick(o % 6, "rate"), pick(o % 5, "background"), pick(o % 4, "shape"), pick(k % 6, "motion"), pick(k % 2, "coding"), pick(o % 2, "container"), pick(k % 4, "track_matrix"), pick(c.div(o, 2) % 2, "scale"), pick(o % 17, "defect")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("-", size, (k % 100 + 1).cast("string"), *parts).alias("name"), pick(o % 2, "container").alias("con"))
+
+
+@query(f"SELECT o_orderkey, name, name || '-media.' || CASE con WHEN 'iso' THEN 'mp4' ELSE 'avi' END AS media FROM ({_NAME_SQL})")
+def entry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of entries and of their media."""
+    media = F.concat("name", F.lit("-media."), F.when(F.col("con") == "iso", "mp4").otherwise("avi"))
+    return _names(spark, sf_dir).select("o_orderkey", "name", media.alias("media"))
+
+
+@query(f"""SELECT o_orderkey, file, CASE WHEN file LIKE '%.json' THEN regexp_replace(file, '\\.json$', '') ELSE nullif(regexp_extract(file, '^(.*)-media\\.', 1), '') END AS entry
+FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN name || '.json' WHEN 1 THEN name || '-media.mp4' ELSE name END AS file FROM ({_NAME_SQL}))""")
+def entry_name_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z3: the entry that a lockfile name belongs to."""
+    file = F.when(F.col("o_orderkey") % 3 == 0, F.concat("name", F.lit(".json"))).when(F.col("o_orderkey") % 3 == 1, F.concat("name", F.lit("-media.mp4"))).otherwise(F.col("name"))
+    entry = F.when(F.col("file").endswith(".json"), F.regexp_replace("file", r"\.json$", "")).otherwise(F.nullif(F.regexp_extract("file", r"^(.*)-media\.", 1), F.lit("")))
+    return _names(spark, sf_dir).select("o_orderkey", file.alias("file")).withColumn("entry", entry)
+
+
+@query(f"SELECT o_orderkey, name FROM ({_NAME_SQL}) WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def selected_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries asked for, by a semi-join."""
+    want = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return _names(spark, sf_dir).join(want, "o_orderkey", "left_semi").select("o_orderkey", "name")
+
+
+_PAIRS = "WITH axes(axis, size) AS (VALUES " + ", ".join(f"({i}, {n})" for i, n in enumerate(ct.SIZES)) + """),
+v AS (SELECT axis, i AS value FROM axes, range(20) t(i) WHERE i < size),
+px(i, n) AS (VALUES (0, 256), (1, 76800), (2, 307200), (3, 921600), (4, 2073600)), fr(j, n) AS (VALUES (0, 1), (1, 10), (2, 100), (3, 1000), (4, 20000)),
+need(j, box) AS (VALUES """ + ", ".join(f"({j}, {_AX['container'].index(n)})" for j, n in enumerate(ct.NEEDS) if n) + """)
+SELECT a.axis AS axis_a, a.value::INTEGER AS value_a, b.axis AS axis_b, b.value::INTEGER AS value_b FROM v a JOIN v b ON a.axis < b.axis
+WHERE NOT (a.axis = 0 AND b.axis = 1 AND (SELECT px.n::BIGINT FROM px WHERE px.i = a.value) * (SELECT fr.n FROM fr WHERE fr.j = b.value) > 10000000)
+AND NOT (a.axis = 7 AND b.axis = 10 AND EXISTS (SELECT 1 FROM need WHERE need.j = b.value AND need.box <> a.value))"""
+
+
+@query(_PAIRS)
+def pair_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of axis values to cover."""
+    return ct.pair_obligations(spark)
+
+
+def _covering(spark: SparkSession) -> list[tuple[int, ...]]:
+    return ct.covering_array([tuple(r) for r in ct.pair_obligations(spark).collect()])  # 1419 pairs of literals
+
+
+@query("SELECT 0 AS axis_a, 0 AS value_a, 0 AS axis_b, 0 AS value_b WHERE false")
+def uncovered_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that no row of the covering array has: none."""
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_covering(spark))], "row int, " + ", ".join(f"a{i} int" for i in range(len(ct.NAMES))))
+    cells = rows.select("row", F.posexplode(F.array(*[f"a{i}" for i in range(len(ct.NAMES))])).alias("axis", "value"))
+    a, b = cells.toDF("row", "axis_a", "value_a"), cells.toDF("row", "axis_b", "value_b")
+    have = a.join(b, "row").where("axis_a < axis_b").drop("row").distinct()
+    return ct.pair_obligations(spark).join(have, ["axis_a", "value_a", "axis_b", "value_b"], "left_anti")
+
+
+@query()
+def covering_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's entries in order: the array, two single entries, nine with capture rates."""
+    return co.catalogue(spark).select("ord", "name")
+
+
+@query("SELECT n_nationkey, '{\"index\":' || n_nationkey || ',\"name\":\"n-' || n_nationkey || '\",\"objects\":[' || string_agg('{\"index\":' || i || ',\"on_screen\":{\"den\":' || (i + 1) || ',\"num\":1}}', ',' ORDER BY i) || ']}' AS json FROM nation, range(3) t(i) GROUP BY n_nationkey")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested rows as JSON without white space, keys in byte order, arrays in index order."""
+    t = table(spark, sf_dir, "nation").withColumn("i", F.explode(F.sequence(c.lit(0), c.lit(2))))
+    one = F.struct(F.col("i").alias("index"), F.struct((F.col("i") + 1).alias("den"), c.lit(1).alias("num")).alias("on_screen"))
+    n = t.groupBy("n_nationkey").agg(F.array_sort(F.collect_list(one), lambda a, b: (a["index"] - b["index"]).cast("int")).alias("objects"))
+    return n.select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("index"), F.concat(F.lit("n-"), F.col("n_nationkey").cast("string")).alias("name"), "objects")).alias("json"))
+
+
+GOLDEN = (
+    "0016x0016-10-60fps-checker-rect-linear-mjpeg-avi-rot90-unscaled-trunc-before",
+    "0016x0016-10-ntsc-gradient-polygon-fixed-raw-iso-rot270-unscaled-reorder",
+    "0320x0240-10-30fps-grid-cross-linear-mjpeg-iso-rot180-scaled-dup-box",
+    "0016x0016-1-30fps-gradient-disc-fixed-raw-iso-rot180-scaled-zero-fps",
+)
+
+
+@query("""SELECT name, digest, length FROM (VALUES
+('0016x0016-10-60fps-checker-rect-linear-mjpeg-avi-rot90-unscaled-trunc-before.json', 'bd9419358c2218049e88ca8ea0987ced463534ea1d0db9c36314bef5daae3c18', 4231),
+('0016x0016-10-60fps-checker-rect-linear-mjpeg-avi-rot90-unscaled-trunc-before-media.avi', 'a7a9ef428a03c7f34b0be2d622afe37cf1898d871de3970d44d1af2f9f422167', 212),
+('0016x0016-10-ntsc-gradient-polygon-fixed-raw-iso-rot270-unscaled-reorder.json', '45e6a9fe7be0bb352ac7f7ec3460dca5dcf3576af973817535805630fa3587c1', 4253),
+('0016x0016-10-ntsc-gradient-polygon-fixed-raw-iso-rot270-unscaled-reorder-media.mp4', 'a3b0fc24629da5fad7d776ce58d7d3e1619072385a84d0f67ca7ce5c70472fa7', 8350),
+('0320x0240-10-30fps-grid-cross-linear-mjpeg-iso-rot180-scaled-dup-box.json', '6bcaedba7ac92261afd841376c1feb984f6ae1d76288515ec5362bdac94e1840', 4913),
+('0320x0240-10-30fps-grid-cross-linear-mjpeg-iso-rot180-scaled-dup-box-media.mp4', 'f0200ae32c2a7287b8764d81f9b22ebc48f585c3d0cc1fc0c0bbb0df1fedc0f4', 95005),
+('0016x0016-1-30fps-gradient-disc-fixed-raw-iso-rot180-scaled-zero-fps.json', 'e52713819ed859efd82877cb39b047d0e07547f1e3b6d7e95f6448d9d9abff6c', 770),
+('0016x0016-1-30fps-gradient-disc-fixed-raw-iso-rot180-scaled-zero-fps-media.mp4', 'c206d384d6b32232ebcb4d40944f3b9f9524bef0b3786391fb5843a51a5f3eab', 1366)) t(name, digest, length)""")
+def golden_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole entries, from name to digests, against frozen ones."""
+    from framewright.plans.corpus import parse_name
+
+    rows = [(n, parse_name(n)["frame_count"]) for n in GOLDEN]
+    return co.artifacts(spark.createDataFrame(rows, "name string, frame_count long"))
+
+
+@query()
+def catalogue_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all entries of at most a hundred frames at the smallest size, made again from names."""
+    return co.artifacts(co.catalogue(spark).where("pixels = 256 and frame_count <= 100"))

@@ -130,7 +130,7 @@ def test_piecewise_and_nested():
 
 
 def test_turned_and_zoomed_camera():
-    camera = {"motion": {"kind": "fixed", "origin": (F(3), F(1))}, "rotation": {"start": F(1, 4)}, "zoom": {"start": F(3, 2)}}
+    camera = {"motion": {"kind": "fixed", "origin": (F(1), F(1))}, "rotation": {"start": F(1, 4)}, "zoom": {"start": F(3, 2)}}
     m, z = sc.camera_at(camera, 0, sc.Walks())
     centre, box = sc.place({"kind": "disc", "radius": F(2)}, point(4, 2), m, z)
     assert centre == (F(3, 2), F(-9, 2)) and box == (F(-3, 2), F(-15, 2), F(9, 2), F(-3, 2))

@@ -6,8 +6,8 @@
    task.  The table only orders: any total order gives exact results.
 3. Prefixes meet by shingle.  Length and positional filters leave candidate pairs; a shingle that
    very many sets hold first tries two of them against the rest, because members of one component
-   need no further links between them; pairs still apart are taken up in later rounds until none
-   are left, so no link between components is lost.
+   need no further links between them; what is still apart then is compared in tiles of whole
+   sets, so no link between components is lost.
 4. Distinct candidates are verified once on the whole sets, behind a suffix filter, and the links
    are closed to components.
 """
@@ -17,13 +17,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import connected_components, stored
+from framewright.llm.common import Forest, connected_components, stored
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -174,16 +175,12 @@ def _passes(n, pos, i, j, t: int) -> np.ndarray:
     return (100 * ni >= t * nj) & (pos[i] < index_prefix(ni, t)) & (room >= overlap_needed(ni, nj, t))
 
 
-def _leaders(key: np.ndarray, salt: int) -> list[int]:
-    return list(dict.fromkeys(int(np.argmin(scramble(key.view(np.uint64) ^ MIX[(salt + k) % len(MIX)]))) for k in range(2)))
-
-
-def _star(key, n, pos, other, t: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of two members of a run with all the rest; ``other`` tells if two rows may still need a link."""
+def _star(key, n, pos, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two members of a run, the same ones in most runs of a group, with all the rest."""
     left, right = [], []
     every = np.arange(len(key))
-    for lead in _leaders(key, salt):
-        rest = every[(every != lead) & other(every, lead)]
+    for lead in dict.fromkeys(int(np.argmin(scramble(key.view(np.uint64) ^ m))) for m in MIX[:2]):
+        rest = every[every != lead]
         i, j = np.minimum(rest, lead), np.maximum(rest, lead)
         ok = _passes(n, pos, i, j, t)
         left.append(i[ok])
@@ -218,7 +215,7 @@ def _candidates(t: int):
                 step += 1
             for r in np.flatnonzero(size > SHORT_RUN):
                 at = slice(start[r], start[r] + size[r])
-                i, j = _star(key[at], n[at], pos[at], lambda every, lead: np.ones(len(every), bool), t, 0)
+                i, j = _star(key[at], n[at], pos[at], t)
                 found_a.append(key[at][i])
                 found_b.append(key[at][j])
                 yield _pair_batch(1, tok[at], key[at], n[at], pos[at])
@@ -232,25 +229,33 @@ def _candidates(t: int):
     return run
 
 
-def _later(t: int, salt: int, all_pairs: bool):
-    """Candidates of long runs between rows whose components still differ."""
+def _rejoin(t: int):
+    """Links between rows of a tile whose components differ: (a, b), at most one per pair of components joined.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tok, key, n, pos, comp in _runs(batches, ["token", "key", "n", "pos", "comp"]):
-            start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-            for lo, hi in zip(start, np.r_[start[1:], len(tok)], strict=True):
-                k, m, p, c = key[lo:hi], n[lo:hi], pos[lo:hi], comp[lo:hi]
-                if not all_pairs:
-                    i, j = _star(k, m, p, lambda every, lead, c=c: c[every] != c[lead], t, salt)
-                    pairs = [(i, j)]
-                else:
-                    every = np.arange(len(k))
-                    pairs = ((np.full(len(k) - x - 1, x), every[x + 1 :]) for x in range(len(k) - 1))
-                for i, j in pairs:
-                    ok = (c[i] != c[j]) & _passes(m, p, i, j, t) if len(i) else np.zeros(0, bool)
-                    if ok.any():
-                        a, b = k[i[ok]], k[j[ok]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    ``side`` 1 are rows outside the group's main component, ``side`` 0 all its rows.  Shared
+    shingles are counted by an inverted index of the tile; every pair is compared in full.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        few, all_ = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
+        sets = [np.frombuffer(x, np.uint64) for x in all_["items"]]
+        size = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        keys, comps = all_["key"].to_numpy(), all_["comp"].to_numpy()
+        forest, out = Forest(), []
+        for key, comp, items in zip(few["key"].tolist(), few["comp"].tolist(), few["items"], strict=True):
+            x = np.frombuffer(items, np.uint64)
+            lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+            spans = hi - lo
+            at = np.repeat(lo - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
+            shared = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero((comps != comp) & (shared >= overlap_needed(len(x), size, t))).tolist():
+                if forest.join(comp, int(comps[j])):
+                    out.append((key, int(keys[j])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -309,18 +314,47 @@ class JaccardJoin:
         self.table = self.spark.sparkContext.broadcast(bytes(table))
         self.classes = stored(self.rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of distinct candidate pairs of keys that hold, on whole sets; each is verified once."""
-        pairs = stored(pairs.distinct(), "jaccard-pairs")
-        keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
+    def members(self, keys: DataFrame) -> DataFrame:
+        """(key, items): the whole sets of the given keys, each from one document that has it."""
         wanted = stored(keys.join(self.classes, "key").select("key", "rep"), "jaccard-wanted")
         bitmap = self.spark.sparkContext.broadcast(_wanted_bits(wanted.select(F.col("rep").alias("key"))))
         spotted = self.docs.where("doc_id is not null").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)).cast("int").alias("spot"))
         sets = spotted.mapInArrow(_wanted_sets(self.words_per, bitmap), "key long, items binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
-        sets = stored(sets, "jaccard-members")
+        return stored(sets, "jaccard-members")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of distinct candidate pairs of keys that hold, on whole sets; each is verified once."""
+        pairs = stored(pairs.distinct(), "jaccard-pairs")
+        sets = self.members(pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct())
         withs = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b")
         return stored(withs.mapInArrow(_verify(self.t), "a long, b long"), "jaccard-links")
 
+    def place(self, rows: DataFrame, comps: DataFrame) -> DataFrame:
+        """``rows`` with ``comp``, the component of their key; a key without links is its own."""
+        return rows.join(comps.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
+    def rejoin(self, waiting: DataFrame, comps: DataFrame, tile: int = 2048) -> DataFrame:
+        """Links between components that long runs still hold apart, or None if no run does.
+
+        Runs that share keys make a group.  Its rows outside the group's largest component meet all
+        its rows, tile by tile: rows are sent, not pairs, and rows of one component are not compared.
+        """
+        placed = self.place(waiting, comps)
+        split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        placed = stored(placed.join(split, "token", "left_semi").select("token", "key", "comp"), "jaccard-open")
+        if placed.limit(1).count() == 0:
+            return None
+        groups = connected_components(placed.select(F.col("token").alias("a"), F.col("key").alias("b")))
+        rows = stored(placed.select("key", "comp").distinct().join(groups.select(F.col("node").alias("key"), F.col("component").alias("grp")), "key"), "jaccard-groups")
+        main = rows.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"))
+        tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / tile)).cast("int")
+        rows = rows.join(main.select("grp", "main", tiles(F.col("n_all")).alias("t_all"), tiles(F.col("n_all") - F.col("n_main")).alias("t_few")), "grp")
+        rows = stored(rows.join(self.members(rows.select("key").distinct()), "key"), "jaccard-group-sets")
+        own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+        every = rows.select("grp", "key", "comp", "items", F.lit(0).alias("side"), own(F.col("t_all")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("t_few") - 1)).alias("j"))
+        few = rows.where("comp <> main").select("grp", "key", "comp", "items", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("t_all") - 1)).alias("i"), own(F.col("t_few")).alias("j"))
+        return stored(every.unionAll(few).groupBy("grp", "i", "j").applyInPandas(_rejoin(self.t), "a long, b long"), "jaccard-rejoined")
+
     def components(self, links: DataFrame) -> DataFrame:
         return connected_components(links)
 
@@ -337,24 +371,11 @@ class JaccardJoin:
         links = self.links(tested)
         comps = self.components(links)
         waiting = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "n", "pos")
-        for salt, all_pairs in ((2, False), (4, False), (0, True)):
-            if waiting.limit(1).count() == 0:
-                break
-            placed = waiting.join(comps.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-            split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-            placed = stored(placed.join(split, "token", "left_semi").select("token", "key", "n", "pos", "comp"), "jaccard-waiting")
-            waiting = placed.select("token", "key", "n", "pos")
-            more = placed.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(_later(self.t, salt, all_pairs), "a long, b long").distinct()
-            more = stored(more.join(tested, ["a", "b"], "left_anti"), "jaccard-more")
-            if more.limit(1).count() == 0:
-                if all_pairs:
-                    break
-                continue
-            tested = tested.unionAll(more)
-            links = links.unionAll(self.links(more))
-            comps = self.components(links)
+        more = self.rejoin(waiting, comps) if waiting.limit(1).count() else None
+        if more is not None:
+            comps = self.components(links.unionAll(more))
         # keys to their smallest doc_ids: first per class, then per component of classes
-        placed = self.classes.join(comps.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        placed = self.place(self.classes, comps)
         least = placed.groupBy("comp").agg(F.min("rep").alias("component"))
         by_key = placed.join(least, "comp").select("key", "component")
         whole = self.rows.where("n > 0 and doc_id is not null").join(by_key, "key").select("doc_id", "n", "component")

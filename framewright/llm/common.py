@@ -111,12 +111,13 @@ def _contract(batches):
     yield pd.DataFrame({"a": np.array(nodes, dtype="int64"), "b": np.array([forest.root(x) for x in nodes], dtype="int64")})
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = 500_000) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b longs); component is the smallest node reached.
 
     Each task first contracts its edges to stars; then large-star and small-star steps alternate,
     each written to the shared folder, until a round changes nothing.  Every step holds at most one
-    edge per node and neighbour root, and hot roots are reduced by min() before the shuffle.
+    edge per node and neighbour root, and hot roots are reduced by min() before the shuffle.  Once no
+    more than ``one_task`` edges (16 bytes each) are left, one task contracts them in one step.
     """
     schema = "a long, b long"
     stars = edges.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(_contract, schema)
@@ -124,6 +125,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # settled: a star forest, in which each node has one parent and no parent has one
         n, nodes = cur.agg(F.count("*"), F.count_distinct("a")).first()
+        if n <= one_task:
+            cur = stored(cur.coalesce(1).mapInPandas(_contract, schema), "cc")
+            break
         if n == nodes and not cur.join(cur.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
             break
         # large-star: join each node's larger neighbours to its smallest neighbour (or itself)

@@ -155,6 +155,8 @@ class LexiconAutomaton:
         if len(self.sets) > self.limit:
             self.reset()
         i, steps = self.start, self.steps
+        if i < 0:
+            return 0.0, 0
         stem = 0.0
         for ch in word:
             j = steps[i].get(ch)
@@ -271,7 +273,8 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], *, min_odds: flo
 
     ct = Counter(w for s in toxic for w in s)
     cc = Counter(w for s in clean for w in s)
-    words = {w: odds(n, cc[w]) for w, n in ct.items() if n > 2 and len(w) >= 3 and real(n, cc[w], len(ct))}
+    often = sum(n > 2 for n in ct.values())
+    words = {w: odds(n, cc[w]) for w, n in ct.items() if n > 2 and len(w) >= 3 and real(n, cc[w], often)}
     longest = 12
     pt: Counter = Counter()
     pc: Counter = Counter()
@@ -293,7 +296,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -
     """Learn lexicon and weights from at most ``per_class`` labelled texts per class outside the held-out fifth.
 
     Equal texts count once.  What reaches the driver is the distinct words of those texts, found on
-    the executors.  Without labels of both classes the lexicon is empty and every score is 0.
+    the executors.  With labels of one class only, or too few to tell words from
+    chance, the lexicon is empty and every score is 0.
     """
     sample = labelled_sample(docs, labels, "toxic", per_class).groupBy("text").agg(F.max("y").alias("y"))
 
@@ -307,6 +311,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -
     if not sets[0] or not sets[1]:
         return ToxicModel({}, {}, (0.0, 0.0, 0.0, -30.0))
     words, stems = learn_lexicon(sets[1], sets[0])
+    if not words and not stems:
+        return ToxicModel({}, {}, (0.0, 0.0, 0.0, -30.0))
     # a spelling that clean texts use as often as toxic ones is a word of its own, not a misspelling
     auto = LexiconAutomaton(words, stems)
     near: Counter = Counter()

@@ -33,10 +33,14 @@ CLOSES = {
 }
 #: Words in class, id or role that mark what is not the article, and what is.
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|breadcrumbs?|comments?|commentlist|disqus|replies|respond|discussion|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|menu|navbar|nav|navigation|topnav|pager|pagination|footer|foot|header|masthead|sidebar|side|aside|widget|related|recommend\w*|share|sharing|social|toolbar|skip|search|tags?|toc|byline-share|outbrain|taboola|complementary|contentinfo|dialog|hidden)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|breadcrumbs?|comments?|commentlist|commenters?|disqus|replies|respond|responses|discussion|cookies?|consent|gdpr|notices?|alert|alertdialog|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|form|menu|navbar|nav|navigation|topnav|pager|pagination|footer|foot|header|masthead|sidebar|side|aside|widgets?|related|recommend\w*|share|sharing|social|toolbar|skip|search|tags|tagcloud|toc|outbrain|taboola|complementary|contentinfo|dialog|status|hidden)(?:$|[_-])",
     re.I,
 )
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog|hentry|prose)(?:$|[\s_-])", re.I)
+#: Names that tell of a layout around what they mark, and names of the article itself.
+LAYOUT = re.compile(r"^(?:has|with|no|without|is|js|hide|show)[_-]", re.I)
+ARTICLE = frozenset("article article-body article-content main main-content entry-content post-content post-body story-body".split())
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^a-zA-Z][^>]*>", re.S)
@@ -44,6 +48,14 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
 SPACE = re.compile(r"\s+")
 
 
+def unwanted(tag: str, marks: str) -> bool:
+    """Whether an element's names say that it is not part of the article."""
+    if not marks or tag in ("html", "body", "main"):
+        return False
+    names = CAMEL.sub("-", marks).split()
+    return any(UNWANTED.search(n) and not LAYOUT.match(n) for n in names) and not any(n.lower() in ARTICLE for n in names)
+
+
 class Node:
     __slots__ = ("tag", "kids", "up", "marks", "points", "size", "linked", "skip")
 
@@ -134,7 +146,7 @@ def _in_order(root: Node) -> list[Node]:
         node = todo.pop()
         out.append(node)
         for kid in reversed(node.kids):
-            if isinstance(kid, Node) and not kid.skip and not (kid.marks and kid.tag not in ("html", "body", "article", "main") and UNWANTED.search(kid.marks) and not WANTED.search(kid.marks)):
+            if isinstance(kid, Node) and not kid.skip and not unwanted(kid.tag, kid.marks):
                 todo.append(kid)
             elif isinstance(kid, Node):
                 kid.skip = True

@@ -138,6 +138,15 @@ def test_article_without_its_surroundings():
     assert html_text.main_text(deep) == "deep, text"
 
 
+def test_names_that_mark_surroundings():
+    out = "comment-body ad-slot sidebar-content relatedPosts commentList footer-text cookie-banner".split()
+    assert all(html_text.unwanted("div", n) for n in out) and html_text.unwanted("article", "comment")
+    assert not any(html_text.unwanted("div", n) for n in ("post has-sidebar", "article-body", "content no-comments", "headline", "shadow", "main-content side", ""))
+    body = "".join(f"<p>Sentence {k}, which is long, and goes on, to count for something here.</p>" for k in range(4))
+    page = f"<body><div class='wrap'><div class='content'>{body}</div><div class='comment-body'><p>Nice, really, nice, I mean it, all of it, honestly, yes.</p></div></div></body>"
+    assert html_text.main_text(page).count("\n") == 3 and "Nice" not in html_text.main_text(page)
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 9), (1, None, None, 9), (None, "u", "", 9)], "page_id long, url string, html string, text int")
     got = html_text.extract(df).collect()

@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.OP1_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op6_embedding_dedup": embedding_dedup.OP6_SQL, "op10_jaccard_join": jaccard.OP10_SQL}

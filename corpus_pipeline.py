@@ -16,6 +16,9 @@ from framewright.llm.common import read_table, stored
 
 QUALITY_KEPT = 0.3
 TOXIC_FROM = 0.5
+#: Of word shingles: words in each, and the percentage of their union that two documents share.
+SHINGLE_WORDS = 5
+SHARED = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each component of the n-gram Jaccard join."""
-    rows = jaccard.JaccardJoin(docs).run()
+    rows = jaccard.JaccardJoin(docs, threshold=SHARED, words_per=SHINGLE_WORDS).run()
     # most rows stay: the ids to leave out are the smaller side
     drop = rows.where("doc_id <> component").select("doc_id").distinct()
     kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)

@@ -27,7 +27,7 @@ def test_stages_are_their_operators_decisions(spark):
 
     good = {r["doc_id"] for r in quality.op8_rows(docs, labels).where("predicted = 1").collect()}
     assert {r["doc_id"] for r in cp.quality_stage(spark, docs, SF).collect()} == good
-    first = {r["doc_id"] for r in jaccard.op10_rows(docs).where("doc_id = component_id").collect()}
+    first = {r["doc_id"] for r in jaccard.JaccardJoin(docs, threshold=80, words_per=5).run().where("doc_id = component").collect()}
     assert {r["doc_id"] for r in cp.near_duplicate_stage(spark, docs, SF).collect()} == first
     leaks = {r["doc_id"] for r in decontaminate.find_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r["doc_id"] for r in cp.decontamination_stage(spark, docs, SF).collect()} == {r["doc_id"] for r in docs.collect()} - leaks

@@ -333,22 +333,24 @@ class JaccardJoin:
         """``rows`` with ``comp``, the component of their key; a key without links is its own."""
         return rows.join(comps.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
-    def rejoin(self, waiting: DataFrame, comps: DataFrame, tile: int = 2048) -> DataFrame:
+    def rejoin(self, waiting: DataFrame, comps: DataFrame, tile: int = 2048, tile_items: int = 4_000_000) -> DataFrame:
         """Links between components that long runs still hold apart, or None if no run does.
 
         Runs that share keys make a group.  Its rows outside the group's largest component meet all
         its rows, tile by tile: rows are sent, not pairs, and rows of one component are not compared.
+        A tile holds about ``tile`` rows, fewer where sets are large: ``tile_items`` shingles.
         """
         placed = self.place(waiting, comps)
         split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        placed = stored(placed.join(split, "token", "left_semi").select("token", "key", "comp"), "jaccard-open")
+        placed = stored(placed.join(split, "token", "left_semi").select("token", "key", "n", "comp"), "jaccard-open")
         if placed.limit(1).count() == 0:
             return None
         groups = connected_components(placed.select(F.col("token").alias("a"), F.col("key").alias("b")))
-        rows = stored(placed.select("key", "comp").distinct().join(groups.select(F.col("node").alias("key"), F.col("component").alias("grp")), "key"), "jaccard-groups")
-        main = rows.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"))
-        tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / tile)).cast("int")
-        rows = rows.join(main.select("grp", "main", tiles(F.col("n_all")).alias("t_all"), tiles(F.col("n_all") - F.col("n_main")).alias("t_few")), "grp")
+        rows = stored(placed.select("key", "n", "comp").distinct().join(groups.select(F.col("node").alias("key"), F.col("component").alias("grp")), "key"), "jaccard-groups")
+        need = F.count("*") / F.lit(tile) + F.sum("n") / F.lit(tile_items)
+        main = rows.groupBy("grp", "comp").agg(F.count("*").alias("rows"), need.alias("need")).groupBy("grp").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("need").alias("all"), F.max_by("need", F.struct("rows", "comp")).alias("largest"))
+        tiles = lambda n: F.greatest(F.lit(1), F.ceil(n)).cast("int")
+        rows = rows.join(main.select("grp", "main", tiles(F.col("all")).alias("t_all"), tiles(F.col("all") - F.col("largest")).alias("t_few")), "grp")
         rows = stored(rows.join(self.members(rows.select("key").distinct()), "key"), "jaccard-group-sets")
         own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
         every = rows.select("grp", "key", "comp", "items", F.lit(0).alias("side"), own(F.col("t_all")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("t_few") - 1)).alias("j"))

@@ -29,6 +29,7 @@ QUOTE_CHARS = "\"“”«»„"
 REPORTING = frozenset("said says say wrote called calls quoted quote word words term insult insults slur slurs sagte schrieb nannte wort dit appelle mot dijo llama palabra".split())
 WINDOW = 5
 STEM_MIN = 4
+OWN_WORDS = 3  # clean words near an entry from which on it tolerates no edits
 
 
 def edits_allowed(n: int) -> int:
@@ -42,6 +43,7 @@ class ToxicModel:
     stems: dict[str, float]
     weights: tuple[float, ...]
     banned: frozenset[str] = field(default_factory=frozenset)
+    exact: frozenset[str] = field(default_factory=frozenset)
 
 
 class LexiconAutomaton:
@@ -51,14 +53,15 @@ class LexiconAutomaton:
     of such states are numbered and their transitions kept, so later words walk a plain table.
     """
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], limit: int = 200_000) -> None:
+    def __init__(self, words: dict[str, float], stems: dict[str, float], exact: frozenset[str] = frozenset(), limit: int = 200_000) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.value: list[float] = [0.0]
         self.stem: list[float] = [0.0]
         self.left: list[set[int]] = [set()]
+        self.budget: list[int] = [-1]
         for entries, is_stem in ((words, False), (stems, True)):
             for text, weight in entries.items():
-                k = 0 if is_stem else edits_allowed(len(text))
+                k = 0 if is_stem or text in exact else edits_allowed(len(text))
                 self._insert(text, weight, k, is_stem)
         self.limit = limit
         self.reset()
@@ -74,6 +77,7 @@ class LexiconAutomaton:
                 self.value.append(0.0)
                 self.stem.append(0.0)
                 self.left.append(set())
+                self.budget.append(-1)
                 self.children[node][ch] = nxt
             node = nxt
             self.left[node].add(k)
@@ -81,6 +85,7 @@ class LexiconAutomaton:
             self.stem[node] = max(self.stem[node], weight)
         else:
             self.value[node] = max(self.value[node], weight)
+            self.budget[node] = k
 
     def reset(self) -> None:
         """Forget the determinised part; it is rebuilt on demand, so memory stays bounded."""
@@ -117,22 +122,11 @@ class LexiconAutomaton:
             best = (0.0, 0)
             for node, k, left in states:
                 # an entry's own budget decides: nodes of longer entries passed on the way don't accept
-                if self.value[node] and k in self.left[node] and edits_allowed(self._depth(node)) == k:
+                if self.value[node] and self.budget[node] == k:
                     best = max(best, (self.value[node] * (1.0 if left == k else 0.9), 1 if left == k else 2))
             self.accept.append(best)
         return i
 
-    def _depth(self, node: int) -> int:
-        if not hasattr(self, "depths") or len(self.depths) != len(self.value):
-            self.depths = [0] * len(self.value)
-            todo = [0]
-            while todo:
-                n = todo.pop()
-                for c in self.children[n].values():
-                    self.depths[c] = self.depths[n] + 1
-                    todo.append(c)
-        return self.depths[node]
-
     def _step(self, i: int, ch: str) -> int:
         out = set()
         for node, k, left in self.sets[i]:
@@ -183,7 +177,7 @@ class Scorer:
     """Features and scores of whole texts; words already judged are kept in a bounded table."""
 
     def __init__(self, model: ToxicModel, memory: int = 400_000) -> None:
-        self.auto = LexiconAutomaton(model.words, model.stems)
+        self.auto = LexiconAutomaton(model.words, model.stems, model.exact)
         self.banned = model.banned
         self.weights = np.array(model.weights)
         self.known: dict[str, tuple[float, int]] = {}
@@ -250,7 +244,7 @@ def apart(sets: list[set[str]], hashes: int = 12, same: int = 6) -> list[set[str
     return out
 
 
-def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], *, min_odds: float = 3.0, risk: float = 0.01) -> tuple[dict[str, float], dict[str, float]]:
+def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], *, min_odds: float = 3.0, risk: float = 0.5) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with a smoothed log odds of at least ``min_odds`` that chance does not explain.
 
     Of the texts with a word, the toxic share must exceed the sample's by more than Chernoff's bound
@@ -292,7 +286,7 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], *, min_odds: flo
     return words, stems
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> ToxicModel:
     """Learn lexicon and weights from at most ``per_class`` labelled texts per class outside the held-out fifth.
 
     Equal texts count once.  What reaches the driver is the distinct words of those texts, found on
@@ -313,7 +307,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -
     words, stems = learn_lexicon(sets[1], sets[0])
     if not words and not stems:
         return ToxicModel({}, {}, (0.0, 0.0, 0.0, -30.0))
-    # a spelling that clean texts use as often as toxic ones is a word of its own, not a misspelling
+    # a spelling that clean texts use as often as toxic ones is a word of its own, not a misspelling;
+    # an entry near several such words stands for itself alone
     auto = LexiconAutomaton(words, stems)
     near: Counter = Counter()
     for y, step in ((1, 1), (0, -3)):
@@ -322,7 +317,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -
                 if w not in words and auto.match(w)[1] == 2:
                     near[w] += step
     banned = frozenset(w for w, n in near.items() if n < 0)
-    draft = ToxicModel(words, stems, (1.0, 1.0, 0.0, 0.0), banned)
+    around = Counter(e for e in words for one in [LexiconAutomaton({e: 1.0}, {})] for w in banned if abs(len(w) - len(e)) <= 2 and one.match(w)[1])
+    exact = frozenset(e for e, n in around.items() if n >= OWN_WORDS)
+    draft = ToxicModel(words, stems, (1.0, 1.0, 0.0, 0.0), banned, exact)
     held = docs.sparkSession.sparkContext.broadcast(draft)
 
     @F.pandas_udf("array<double>")
@@ -336,7 +333,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -
     w = fit_logistic(x, y, l2=1e-3)
     if not x[:, 1].any():
         w[1] = w[0] * 0.8  # no misspelling was seen; it counts nearly as much as the word
-    return ToxicModel(words, stems, tuple(map(float, w)), banned)
+    return ToxicModel(words, stems, tuple(map(float, w)), banned, exact)
 
 
 def score_column(spark: SparkSession, model: ToxicModel):

@@ -135,11 +135,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample_rows: in
     flat = classes.mapInArrow(project, "label string, dim int, vec long, copies long, embedding array<double>, first double")
     flat = stored(flat, "embedding-flat")
     # tiles of about TILE rows per label, cut at quantiles of the first axis over all its rows
-    sizes = flat.groupBy("label", "dim").agg(F.count("*").alias("rows"))
-    cuts = flat.join(sizes, ["label", "dim"]).groupBy("label", "dim").agg(F.max("rows").alias("rows"), F.percentile_approx("first", [i / 64 for i in range(1, 65)], 10000).alias("q"))
+    cuts = flat.groupBy("label", "dim").agg(F.count("*").alias("rows"), F.percentile_approx("first", [i / 64 for i in range(1, 65)], 10000).alias("q"))
     steps = F.greatest(F.lit(1), F.least(F.lit(64), F.ceil(F.col("rows") / TILE)))
     cuts = cuts.select("label", "dim", steps.cast("int").alias("tiles"), "q").selectExpr("label", "dim", "tiles", "transform(sequence(1, tiles), i -> q[cast(ceil(i * 64 / tiles) as int) - 1]) as ends")
-    placed = flat.join(F.broadcast(cuts), ["label", "dim"]).withColumn("tile", F.expr("least(size(filter(ends, e -> e < first)), tiles - 1)"))
+    placed = flat.join(cuts, ["label", "dim"]).withColumn("tile", F.expr("least(size(filter(ends, e -> e < first)), tiles - 1)"))
     # a range of the first axis can hold more than TILE rows at large scale: hash it further
     placed = stored(placed, "embedding-tiles")
     spans = placed.groupBy("label", "dim", "tile").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / (4 * TILE)).cast("int"))

@@ -309,7 +309,7 @@ WHERE CASE WHEN l = 0 OR t <= 0 THEN px * px + py * py <= 1 WHEN t >= l THEN (px
 def line_cover_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels within half a unit of a segment, by the closest point clamped to its ends."""
     p = F.col("p_partkey")
-    t = table(spark, sf_dir, "part").where(p < 200).select("p_partkey", (2 * (p % 16)).alias("ax"), (2 * (p * 3 % 16)).alias("ay"), (2 * (p * 5 % 16)).alias("bx"), (2 * (p * 7 % 16)).alias("by"))
+    t = table(spark, sf_dir, "part").select("p_partkey", (2 * (p % 16)).alias("ax"), (2 * (p * 3 % 16)).alias("ay"), (2 * (p * 5 % 16)).alias("bx"), (2 * (p * 7 % 16)).alias("by"))
 
     def span(a: str, b: str):
         low = F.greatest(c.lit(0), -c.floordiv(-(F.least(a, b) - 2), c.lit(2)))

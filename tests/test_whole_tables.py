@@ -39,3 +39,22 @@ def test_pixels_of_all_segments(spark, tables):
     got = [tuple(r) for r in q.QUERIES["line_cover_pixels"](spark, tables("part", [(k,) for k in keys], "p_partkey long")).select("p_partkey", "x", "y").collect()]
     want = [(k, x, y) for k in keys for x in range(16) for y in range(16) if near_segment(k, x, y)]
     assert sorted(got) == want
+
+
+def test_catalogue_query_makes_every_entry(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(q.co, "artifacts", lambda entries: asked.append(entries) or entries)
+    q.QUERIES["catalogue_manifests"](spark, "")
+    rows = asked[0].collect()
+    assert len({r["name"] for r in rows}) == 138
+    assert {r["frame_count"] for r in rows} == {1, 10, 100, 1000, 20000} and max(r["pixels"] for r in rows) == 1920 * 1080
+
+
+def test_long_entries_in_ranges_equal_those_in_one_piece(spark):
+    entries = q.co.catalogue(spark).where("frame_count = 1000").orderBy("ord").limit(2)
+    got = {r["name"]: bytes(r["content"]) for r in q.co.artifact_bytes(entries).collect()}
+    want = {}
+    for r in entries.collect():
+        e = q.co.parse_name(r["name"])
+        want |= {f"{r['name']}.json": q.co.manifest_json(e), q.ct.media_name(e): q.co.media(e)}
+    assert got == {k: v.encode() if isinstance(v, str) else v for k, v in want.items()}

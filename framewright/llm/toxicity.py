@@ -162,6 +162,8 @@ class LexiconAutomaton:
             for node, k, _ in self.sets[i] if self.has_stem(i) else ():
                 if k == 0 and self.stem[node]:
                     stem = max(stem, self.stem[node])
+        if stem and self.accept[i][1] == 2:
+            return stem, 1  # a form of the stem is no misspelling of a word near it
         return max(self.accept[i], (stem, 1) if stem else (0.0, 0))
 
     def has_stem(self, i: int) -> bool:
@@ -249,8 +251,8 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], *, min_odds: flo
 
     Of the texts with a word, the toxic share must exceed the sample's by more than Chernoff's bound
     allows at ``risk`` over all words tried.  A stem is the shortest prefix of ``STEM_MIN``
-    characters or more that passes and is continued by at least three words; words below it are
-    dropped as covered.
+    characters or more that passes and is continued by at least three words; words below it stay
+    beside it, as stems tolerate no edits.
     """
     a, b = max(1, len(toxic)), max(1, len(clean))
     share = a / (a + b)
@@ -282,7 +284,6 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], *, min_odds: flo
     for p in sorted((p for p, n in pt.items() if n > 2 and ends[p] >= 3 and pc[p] <= n // 200 and real(n, pc[p], len(pt))), key=len):
         if not any(p[:n] in stems for n in range(STEM_MIN, len(p))):
             stems[p] = odds(pt[p], pc[p])
-    words = {w: v for w, v in words.items() if not any(w[:n] in stems for n in range(STEM_MIN, len(w) + 1))}
     return words, stems
 
 

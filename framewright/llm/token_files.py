@@ -13,10 +13,11 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
+import string
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,12 +34,18 @@ MAGIC = 0x184D2A5E  # a skippable frame, by the zstandard format
 FOOTER = struct.Struct("<QIII8s")  # table start, frames, documents, crc32 of the table, mark
 MARK = b"TOKSEEK1"
 FRAME_IDS = 1 << 16
+SHARD_BYTES = 256 << 20
 #: White space other than the space and the line feed.
 ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 OTHER_SPACE = ASCII_SPACE + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-#: Fixed value: the published split pattern of byte-level pre-tokenisers.
+#: Fixed value: the split pattern of the library's byte-level pre-tokeniser.
 LATIN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
+MARKS = string.punctuation
+NOT_LATIN = re.compile("[^\\x00-\\u024f]")
+#: A piece that ends in white space, or starts with other than a space of its own.
+UNSURE = re.compile(r"\s\t|\t[^\S ]|\t \s")
+
 
 def write_shard(docs: Iterable[tuple[int, np.ndarray]], out, width: int = 2, frame_ids: int = FRAME_IDS, level: int = 3) -> int:
     """Write (doc_id, ids) in the given order to the binary stream ``out``; the number of ids written.
@@ -142,34 +149,56 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class CachedTokenizer:
-    """The tokenizers library over a byte-level vocabulary, called once per distinct word.
+    """The tokenizers library over a byte-level vocabulary, called once per new word, many words at a time.
 
     In such a vocabulary no pre-token spans a single space between two characters that are not white
-    space, and what follows is pre-tokenised alike wherever it stands.  So a text is cut there, each
-    distinct piece is encoded by the library, and its ids are kept, as bytes, in two tables of
-    bounded size: when the younger is full it becomes the older, so frequent pieces stay.
+    space, and what follows is pre-tokenised alike wherever it stands.  So texts are cut there, pieces
+    are looked up, and only new ones go through the library, hundreds in a call: joined by tabs, which
+    come out as pre-tokens of their own, through its pre-tokeniser (of Latin text its pattern is run by
+    the regex module, four times as fast); joined by a byte that no merge rule has, through its model.
+    Ids equal ``Tokenizer.encode(text, add_special_tokens=False)``; a text that holds a special
+    token's string goes through that call as a whole, as do long pieces.  ``special_strings`` False
+    makes such strings ordinary text.
+
+    Ids are kept, as bytes, in two tables of at most about ``memory`` bytes together: when the younger is
+    full it becomes the older, so frequent pieces stay.  Pieces of over ``LONG`` characters are not kept.
     """
 
-    def __init__(self, path: str, width: int = 4, memory: int = 400_000) -> None:
+    LONG = 64
+    ENTRY = 200  # bytes of an entry besides its characters and ids
+    SLICE = 2_000_000  # characters of texts whose new pieces are encoded together
+    JOINED = 500  # pieces in one call of the library
+
+    def __init__(self, path: str, width: int = 4, memory: int = 240_000_000, special_strings: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+        self.tool.encode_special_tokens = not special_strings
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         pre = config.get("pre_tokenizer") or {}
-        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or config.get("normalizer"):
+        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or config.get("normalizer"):
             raise ValueError("not a plain byte-level vocabulary")
-        # for Latin text the library's model is called directly on pre-tokens in its byte alphabet
-        self.model = self.tool.model if pre.get("use_regex", True) else None
+        self.strings = [t["content"] for t in config.get("added_tokens") or () if special_strings or not t["special"]]
+        self.pre = self.tool.pre_tokenizer
+        self.bare = Tokenizer(self.tool.model)  # the model alone, on texts in its byte alphabet
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.kind = "H" if width == 2 else "I"
+        merged = {c for m in config["model"]["merges"] for part in (m.split(" ") if isinstance(m, str) else m) for c in part}
+        vocab = config["model"]["vocab"]
+        alone = [b for b in range(32) if self.alphabet[b] not in merged and self.alphabet[b] in vocab]
+        if 9 not in alone or len(alone) < 2:
+            raise ValueError("merge rules have the tab or all control characters")
+        self.gap = chr(next(b for b in alone if b != 9))
+        self.gap_id, self.tab_id = vocab[self.alphabet[ord(self.gap)]], vocab[self.alphabet[9]]
+        self.kind = np.dtype("<u2" if width == 2 else "<u4")
         self.memory = memory
-        self.young: dict = {}
-        self.old: dict = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+        self.marks: dict[str, bytes] = {}  # ids of up to three marks: 32 + 32^2 + 32^3 at most
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -180,46 +209,109 @@ class CachedTokenizer:
             out = [parts[0]]
             for p in parts[1:]:
                 last = out[-1]
-                if p and not p[0].isspace() and last and not last[-1].isspace() and last[-1] != " ":
+                if p and not p[0].isspace() and last and not last[-1].isspace():
                     out.append(p)
                 else:
                     out[-1] = f"{last} {p}"
             parts = out
         return parts
 
-    def new(self, piece: str) -> bytes:
-        """Ids of a piece that is in no table; of Latin text only its new pre-tokens are encoded."""
-        if self.model is None or max(piece) >= "\u0250":
-            return array(self.kind, self.tool.encode(piece, add_special_tokens=False).ids).tobytes()
-        if piece[1:].isalpha() and piece[0] == " ":
-            return self.word(piece)
-        known, old = self.young, self.old
-        out = []
-        for w in LATIN.findall(piece):
-            # a word after a space is kept as the piece that it would be alone
-            name = w[1:] if w[0] == " " and len(w) > 1 else (w,)
-            ids = known.get(name) or old.get(name) or self.word(w)
-            known[name] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def word(self, w: str) -> bytes:
-        return array(self.kind, [t.id for t in self.model.tokenize(w.encode("utf-8").decode("latin-1").translate(self.alphabet))]).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text`` as little-endian unsigned integers."""
-        if not text:
-            return b""
-        parts = self.pieces(text)
-        first, parts = parts[0], parts[1:]
-        young, old = self.young, self.old
-        for p in [p for p in parts if p not in young]:
-            young[p] = old.get(p) or self.new(" " + p)
-        out = (self.new(first) if first else b"") + b"".join(map(young.__getitem__, parts))
-        if len(young) > self.memory:
-            self.old, self.young = young, {}
+    def whole(self, text: str) -> bytes:
+        """Ids of a text by the library's plain call."""
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def new(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of pieces, each with ``lead`` before it, as if it were a text."""
+        out: list[bytes] = []
+        width = self.kind.itemsize
+        for k in range(0, len(pieces), self.JOINED):
+            group = pieces[k : k + self.JOINED]
+            joined = lead + ("\t" + lead).join(group)
+            if joined.count("\t") >= len(group) or self.gap in joined or max(map(len, group)) > self.LONG or UNSURE.search(f"\t{joined}\t") or not all(group):
+                if len(group) == 1:
+                    out.append(self.whole(joined) if joined else b"")
+                else:
+                    half = len(group) // 2
+                    out += self.new(group[:half], lead) + self.new(group[half:], lead)
+                continue
+            spelt = self.other(joined) if NOT_LATIN.search(joined) else self.latin(joined)
+            ids = np.array(self.bare.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, self.kind)
+            ids = ids[ids != self.gap_id]
+            tabs = width * np.flatnonzero(ids == self.tab_id)
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(np.r_[0, tabs + width].tolist(), np.r_[tabs, len(data)].tolist(), strict=True)]
+        return out
+
+    def latin(self, text: str) -> str:
+        """Pre-tokens in the byte alphabet with gaps between, by the pattern."""
+        return self.gap.join(LATIN.findall(text)).encode("utf-8").decode("latin-1").translate(self.alphabet)
+
+    def other(self, text: str) -> str:
+        """Pre-tokens in the byte alphabet with gaps between, by the library."""
+        return self.alphabet[ord(self.gap)].join([t for t, _ in self.pre.pre_tokenize_str(text)])
+
+    def encode_many(self, texts: list[str | None], tail: bytes = b"") -> list[bytes]:
+        """The ids of each text as little-endian unsigned integers, ``tail`` after each; a null text is an empty one."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            parts, room = [], self.SLICE
+            while at < len(texts) and room > 0:
+                t = texts[at] or ""
+                room -= len(t)
+                parts.append(t if any(s in t for s in self.strings) else self.pieces(t))
+                at += 1
+            out += self._encode_pieces(parts, tail)
         return out
 
+    def _encode_pieces(self, parts: list, tail: bytes) -> list[bytes]:
+        """Ids of texts given as their pieces, or as strings that the library takes whole."""
+        young = self.young
+        missing: set[str] = set()
+        heads = {p[0] for p in parts if type(p) is list}
+        for p in parts:
+            if type(p) is list:
+                missing.update(set(p[1:]).difference(young))
+        old = self.old
+        again = missing & old.keys() if old else set()
+        found = {w: old[w] for w in again}
+        new = missing - again
+        # letters and then marks are two pre-tokens: only the letters' ids may be new
+        marked = {w: b for w in new if (b := w.rstrip(MARKS)) != w and b.isalpha() and len(w) - len(b) <= 3 and not NOT_LATIN.search(b)}
+        bases = set(marked.values())
+        found.update({b: ids for b in bases - new if (ids := young.get(b) or old.get(b) or found.get(b))})
+        todo = list((new - marked.keys()) | (bases - found.keys()))
+        found.update(zip(todo, self.new(todo, " "), strict=True))
+        ends = {w[len(b) :] for w, b in marked.items()} - self.marks.keys()
+        self.marks.update(zip(ends, self.new(list(ends), ""), strict=True))
+        found.update({w: found[b] + self.marks[w[len(b) :]] for w, b in marked.items()})
+        first = list(heads)
+        made = dict(zip(first, self.new(first, ""), strict=True))
+        long = {w: found.pop(w) for w in new if len(w) > self.LONG}
+        young.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + self.ENTRY * len(found)
+        get = young.__getitem__
+        if long:
+            get = lambda w: young[w] if w in young else long[w]
+        out = [b"".join([made[p[0]], *map(get, p[1:]), tail]) if type(p) is list else self.whole(p) + tail for p in parts]
+        if self.held > self.memory // 2:
+            self.old, self.young, self.held = young, {}, 0
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
+
+
+_TOOLS: dict[tuple, CachedTokenizer] = {}
+
+
+def tokenizer_of(path: str, width: int) -> CachedTokenizer:
+    """This process's tokenizer: its tables serve all tasks that a Python worker runs, one after another."""
+    if (path, width) not in _TOOLS:
+        _TOOLS.clear()
+        _TOOLS[path, width] = CachedTokenizer(path, width)
+    return _TOOLS[path, width]
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -227,28 +319,53 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def shard_cuts(docs: DataFrame, shards: int | None) -> list[int]:
+    """Quantiles of doc_id between shards, found from the id column; an id with several is cut within by a hash of its ids.
+
+    Where ``shards`` is not given there are as many as keep one at about ``SHARD_BYTES`` of text, or,
+    of little text, as tasks run at a time but no less than 16 MB each.
+    """
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        shards = max(-(-size // SHARD_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (16 << 20))), 1)
+    if shards < 2:
+        return []
+    # bounds from the id column alone: ranging over the rows would read every text twice
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return docs.agg(F.percentile_approx(ids, [i / shards for i in range(1, shards)], min(100 * shards, 1_000_000))).first()[0] or []
+
+
+def shard_of(doc_ids: np.ndarray, data: list[bytes], cuts: np.ndarray) -> np.ndarray:
+    """Ascending shards of ascending (doc_id, crc32 of ids)."""
+    low, high = np.searchsorted(cuts, doc_ids, side="left"), np.searchsorted(cuts, doc_ids, side="right")
+    for i in np.flatnonzero(high - low > 1).tolist():
+        low[i] += zlib.crc32(data[i]) * (int(high[i] - low[i]) + 1) >> 32
+    return low
+
+
 def write_token_files(docs: DataFrame, out_dir: str, *, tokenizer: str | None = None, end_id: int | None = 0, width: int = 2, shards: int | None = None) -> DataFrame:
     """Encode every whole text and write shards of ascending doc_id; (shard, path, n_docs, n_ids), one row a shard.
 
-    Documents are dealt to shards by ranges of doc_id, whose bounds are quantiles of all doc_ids;
-    a shard is written under a name of its own attempt and named in the result only when complete,
-    so lost or repeated tasks leave no half shard in it.  Rows with a null doc_id come first, equal
-    doc_ids in the order of their texts.  A null text is an empty one.
+    Documents are dealt to shards by ranges of doc_id (see shard_cuts), a task a shard; it is written
+    under a name of its own attempt and named in the result only when complete, so lost or repeated
+    tasks leave no half shard in it.  Rows with a null doc_id come first, equal doc_ids in the order
+    of a checksum of their ids; only rows that agree in id and text cannot be dealt to several shards.
+    A null text is an empty one, of any length it is encoded whole; further columns are not written.  An
+    empty table has no shards.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # bounds from the id column alone: ranging over the rows would read every text twice
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 100 * shards)).first()[0] or []
-    cuts = sorted(set(cuts))
+    cuts = shard_cuts(docs, shards)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = CachedTokenizer(tokenizer, width)
-        tail = array(tool.kind, [] if end_id is None else [end_id]).tobytes()
+        tool = tokenizer_of(tokenizer, width)
+        tail = np.array([] if end_id is None else [end_id], tool.kind).tobytes()
+        bounds = np.array(cuts, dtype=np.int64)
         for b in batches:
-            shard = np.searchsorted(np.array(cuts, dtype=np.int64), b["doc_id"].fill_null(-(2**63)).to_numpy(), side="left")
-            data = [tool.encode(t or "") + tail for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b["doc_id"], pa.array(data, pa.binary())], ["shard", "doc_id", "ids"])
+            data = tool.encode_many(b["text"].to_pylist(), tail)
+            shard = shard_of(b["doc_id"].fill_null(-(2**63)).to_numpy(), data, bounds)
+            crc = pa.array([zlib.crc32(x) for x in data], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b["doc_id"], crc, pa.array(data, pa.binary())], ["shard", "doc_id", "crc", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = "<u2" if width == 2 else "<u4"
@@ -281,8 +398,8 @@ def write_token_files(docs: DataFrame, out_dir: str, *, tokenizer: str | None =
                 rows[key].append(value)
         yield pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int32()), pa.array(rows["path"], pa.string()), pa.array(rows["n_docs"], pa.int64()), pa.array(rows["n_ids"], pa.int64())], list(rows))
 
-    encoded = docs.select("doc_id", "text").mapInArrow(encode, "shard int, doc_id long, ids binary")
-    dealt = encoded.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "shard int, doc_id long, crc long, ids binary")
+    dealt = encoded.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "crc", "ids")
     written = dealt.mapInArrow(write, "shard int, path string, n_docs long, n_ids long")
     # one small row a shard; written down, so that reading it again writes no shard again
     index = f"{out_dir}/index.parquet"

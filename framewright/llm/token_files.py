@@ -34,7 +34,7 @@ MAGIC = 0x184D2A5E  # a skippable frame, by the zstandard format
 FOOTER = struct.Struct("<QIII8s")  # table start, frames, documents, crc32 of the table, mark
 MARK = b"TOKSEEK1"
 FRAME_IDS = 1 << 16
-SHARD_BYTES = 256 << 20
+SHARD_BYTES = 64 << 20
 #: White space other than the space and the line feed.
 ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 OTHER_SPACE = ASCII_SPACE + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -169,7 +169,7 @@ class CachedTokenizer:
     SLICE = 2_000_000  # characters of texts whose new pieces are encoded together
     JOINED = 500  # pieces in one call of the library
 
-    def __init__(self, path: str, width: int = 4, memory: int = 240_000_000, special_strings: bool = True) -> None:
+    def __init__(self, path: str, width: int = 4, memory: int = 160_000_000, special_strings: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -322,12 +322,11 @@ def default_tokenizer() -> str:
 def shard_cuts(docs: DataFrame, shards: int | None) -> list[int]:
     """Quantiles of doc_id between shards, found from the id column; an id with several is cut within by a hash of its ids.
 
-    Where ``shards`` is not given there are as many as keep one at about ``SHARD_BYTES`` of text, or,
-    of little text, as tasks run at a time but no less than 16 MB each.
+    Where ``shards`` is not given there are as many as keep one at about ``SHARD_BYTES`` of text.
     """
     if shards is None:
         size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        shards = max(-(-size // SHARD_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (16 << 20))), 1)
+        shards = max(1, -(-size // SHARD_BYTES))
     if shards < 2:
         return []
     # bounds from the id column alone: ranging over the rows would read every text twice

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests in local mode) a temporary folder is set for it.
+    Only where that setting is absent and the master is local (as in tests) a temporary folder is
+    set for it; on a cluster its absence is an error, as executors would not see such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="framewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,14 +44,18 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``per_class`` learnable rows per class, lowest hashes first.
+    """(doc_id, text, y) of at most ``per_class`` learnable rows per class, lowest hashes first, written down once.
 
     The bound is on the learnt-from rows only; the chosen ids (at most 2 x ``per_class`` longs) are
-    broadcast, so documents are scanned once without a shuffle of their text.
+    broadcast, so documents are scanned once without a shuffle of their text.  Of several texts
+    with one doc_id the one of the lowest hash is taken, so repeated ids don't break the bound.
     """
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
-    picks = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picks[0].unionAll(picks[1])), "doc_id").where(F.col("text").isNotNull())
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    once = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+    picks = [once.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picks[0].unionAll(picks[1])), "doc_id").where(F.col("text").isNotNull())
+    one = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return stored(one.select("doc_id", "t.text", "y"), f"labelled-{label}")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 100) -> np.ndarray:

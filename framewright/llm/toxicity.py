@@ -15,7 +15,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -26,10 +26,11 @@ from framewright.llm.common import fit_logistic, held_out, labelled_sample
 
 WORD = re.compile(r"[^\W_]+")
 QUOTE_CHARS = "\"“”«»„"
+#: Verbs and nouns of reporting, to start from; those of the labelled texts are learnt besides.
 REPORTING = frozenset("said says say wrote called calls quoted quote word words term insult insults slur slurs sagte schrieb nannte wort dit appelle mot dijo llama palabra".split())
 WINDOW = 5
 STEM_MIN = 4
-OWN_WORDS = 3  # clean words near an entry from which on it tolerates no edits
+OWN_WORDS = 3  # ordinary words near an entry from which on its misspellings are doubtful
 
 
 def edits_allowed(n: int) -> int:
@@ -42,8 +43,9 @@ class ToxicModel:
     words: dict[str, float]
     stems: dict[str, float]
     weights: tuple[float, ...]
-    banned: frozenset[str] = field(default_factory=frozenset)
-    exact: frozenset[str] = field(default_factory=frozenset)
+    banned: frozenset[str] = field(default_factory=frozenset)  # spellings that are ordinary words
+    amid: frozenset[str] = field(default_factory=frozenset)  # entries amid ordinary words: their misspellings are doubtful
+    reporting: frozenset[str] = REPORTING
 
 
 class LexiconAutomaton:
@@ -53,17 +55,21 @@ class LexiconAutomaton:
     of such states are numbered and their transitions kept, so later words walk a plain table.
     """
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], exact: frozenset[str] = frozenset(), limit: int = 200_000) -> None:
+    def __init__(self, words: dict[str, float], stems: dict[str, float], amid: frozenset[str] = frozenset(), exact: frozenset[str] = frozenset(), limit: int = 200_000) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.value: list[float] = [0.0]
         self.stem: list[float] = [0.0]
         self.left: list[set[int]] = [set()]
         self.budget: list[int] = [-1]
+        self.doubtful: set[int] = set()
         for entries, is_stem in ((words, False), (stems, True)):
             for text, weight in entries.items():
                 k = 0 if is_stem or text in exact else edits_allowed(len(text))
                 self._insert(text, weight, k, is_stem)
+                if text in amid and not is_stem:
+                    self.doubtful.add(self.node_of(text))
         self.limit = limit
+        self.amid = amid
         self.reset()
 
     def _insert(self, text: str, weight: float, k: int, is_stem: bool) -> None:
@@ -87,6 +93,12 @@ class LexiconAutomaton:
             self.value[node] = max(self.value[node], weight)
             self.budget[node] = k
 
+    def node_of(self, text: str) -> int:
+        node = 0
+        for ch in text:
+            node = self.children[node][ch]
+        return node
+
     def reset(self) -> None:
         """Forget the determinised part; it is rebuilt on demand, so memory stays bounded."""
         self.ids: dict[frozenset, int] = {}
@@ -123,7 +135,10 @@ class LexiconAutomaton:
             for node, k, left in states:
                 # an entry's own budget decides: nodes of longer entries passed on the way don't accept
                 if self.value[node] and self.budget[node] == k:
-                    best = max(best, (self.value[node] * (1.0 if left == k else 0.9), 1 if left == k else 2))
+                    kind = 1 if left == k else 3 if node in self.doubtful else 2
+                    # what is no doubtful spelling of any entry counts as such
+                    if not best[1] or (kind == 3, -self.value[node]) < (best[1] == 3, -best[0]):
+                        best = (self.value[node] * (1.0 if left == k else 0.9), kind)
             self.accept.append(best)
         return i
 
@@ -145,7 +160,7 @@ class LexiconAutomaton:
         return j
 
     def match(self, word: str) -> tuple[float, int]:
-        """(weight, kind) of the best entry: kind 1 exact or by stem, 2 misspelled, 0 none."""
+        """(weight, kind) of the best entry: kind 1 exact or by stem, 2 misspelled, 3 doubtful, 0 none."""
         if len(self.sets) > self.limit:
             self.reset()
         i, steps = self.start, self.steps
@@ -162,9 +177,9 @@ class LexiconAutomaton:
             for node, k, _ in self.sets[i] if self.has_stem(i) else ():
                 if k == 0 and self.stem[node]:
                     stem = max(stem, self.stem[node])
-        if stem and self.accept[i][1] == 2:
+        if stem and self.accept[i][1] > 1:
             return stem, 1  # a form of the stem is no misspelling of a word near it
-        return max(self.accept[i], (stem, 1) if stem else (0.0, 0))
+        return max(self.accept[i], (stem, 1)) if stem else self.accept[i]
 
     def has_stem(self, i: int) -> bool:
         flags = self.__dict__.setdefault("_stem_flags", [])
@@ -179,8 +194,10 @@ class Scorer:
     """Features and scores of whole texts; words already judged are kept in a bounded table."""
 
     def __init__(self, model: ToxicModel, memory: int = 400_000) -> None:
-        self.auto = LexiconAutomaton(model.words, model.stems, model.exact)
-        self.banned = model.banned
+        # doubtful misspellings that were found to tell nothing need not be looked for
+        idle = model.amid if not model.weights[2] else frozenset()
+        self.auto = LexiconAutomaton(model.words, model.stems, model.amid, exact=idle)
+        self.banned, self.reporting = model.banned, model.reporting
         self.weights = np.array(model.weights)
         self.known: dict[str, tuple[float, int]] = {}
         self.memory = memory
@@ -197,36 +214,44 @@ class Scorer:
         known, judge = self.known, self.judge
         low = text.lower()
         words = WORD.findall(low)
-        found = {w for w in set(words) if (known.get(w) or judge(w))[1]}
+        # hits are kept apart from the table, which judging may empty at any word
+        found = {w: hit for w in set(words) if (hit := known.get(w) or judge(w))[1]}
         if not found:
             return []
         spans = [(m.start(), m.group()) for m in WORD.finditer(low)]
         out = []
+        counted = odd = 0
         for i, (at, w) in enumerate(spans):
             if w in found:
                 lo = spans[max(0, i - WINDOW)][0]
                 hi_at, hi_w = spans[min(len(spans) - 1, i + WINDOW)]
                 before, after = low[lo:at], low[at + len(w) : hi_at + len(hi_w)]
-                marks = sum(low.count(q, 0, at) for q in "\"") % 2 if "\"" in before else 0
+                # straight quotation marks open and close alike: their parity is carried along
+                odd ^= low.count('"', counted, at) & 1
+                counted = at
+                marks = odd and '"' in before
                 inside = (marks or any(q in before for q in QUOTE_CHARS[1:])) and any(q in after for q in QUOTE_CHARS)
-                told = any(x in REPORTING for _, x in spans[max(0, i - WINDOW) : i])
-                out.append((at, w, *known[w], bool(inside or told)))
+                told = any(x in self.reporting for _, x in spans[max(0, i - WINDOW) : i])
+                out.append((at, w, *found[w], bool(inside or told)))
         return out
 
+    def contexts(self, text: str) -> list[str]:
+        """Distinct words of the windows before hits."""
+        low = text.lower()
+        starts = {at for at, *_ in self.hits(text)}
+        words = [(m.start(), m.group()) for m in WORD.finditer(low)] if starts else []
+        return sorted({x for i, (at, _) in enumerate(words) if at in starts for _, x in words[max(0, i - WINDOW) : i]})
+
     def features(self, text: str) -> list[float]:
-        abuse = quoted = wrong = 0.0
+        """Logs of the summed weights of words, misspelled words, doubtful misspellings and quoted hits."""
+        sums = [0.0, 0.0, 0.0, 0.0]
         for _, _, weight, kind, q in self.hits(text):
-            if q:
-                quoted += weight
-            elif kind == 1:
-                abuse += weight
-            else:
-                wrong += weight
-        return [math.log1p(abuse), math.log1p(wrong), math.log1p(quoted)]
+            sums[3 if q else kind - 1] += weight
+        return [math.log1p(x) for x in sums]
 
     def score(self, text: str | None) -> float:
         x = self.features(text or "")
-        return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights[:3], x) + self.weights[3], -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights[:-1], x) + self.weights[-1], -30, 30))))
 
 
 def apart(sets: list[set[str]], hashes: int = 12, same: int = 6) -> list[set[str]]:
@@ -287,10 +312,10 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], *, min_odds: flo
     return words, stems
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> ToxicModel:
-    """Learn lexicon and weights from at most ``per_class`` labelled texts per class outside the held-out fifth.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, reporting: frozenset[str] = REPORTING) -> ToxicModel:
+    """Learn lexicon, words of reporting and weights from at most ``per_class`` labelled texts per class outside the held-out fifth.
 
-    Equal texts count once.  What reaches the driver is the distinct words of those texts, found on
+    ``reporting`` are words of reporting known beforehand.  Equal texts count once.  What reaches the driver is the distinct words of those texts, found on
     the executors.  With labels of one class only, or too few to tell words from
     chance, the lexicon is empty and every score is 0.
     """
@@ -300,41 +325,62 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -
     def vocabulary(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: " ".join(sorted(set(WORD.findall(t.lower())))))
 
-    rows = sample.select("y", vocabulary("text").alias("words")).toPandas()
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")
+    rows = sample.select("y", half, vocabulary("text").alias("words")).toPandas()
     rows = rows.sort_values("words", kind="stable")
     sets = {y: apart([set(s.split(" ")) - {""} for s in rows["words"][rows["y"] == y]]) for y in (0, 1)}
     if not sets[0] or not sets[1]:
-        return ToxicModel({}, {}, (0.0, 0.0, 0.0, -30.0))
+        return ToxicModel({}, {}, (0.0, 0.0, 0.0, 0.0, -30.0))
     words, stems = learn_lexicon(sets[1], sets[0])
     if not words and not stems:
-        return ToxicModel({}, {}, (0.0, 0.0, 0.0, -30.0))
+        return ToxicModel({}, {}, (0.0, 0.0, 0.0, 0.0, -30.0))
     # a spelling that clean texts use as often as toxic ones is a word of its own, not a misspelling;
     # an entry near several such words stands for itself alone
     auto = LexiconAutomaton(words, stems)
-    near: Counter = Counter()
-    for y, step in ((1, 1), (0, -3)):
-        for s in sets[y]:
-            for w in s:
-                if w not in words and auto.match(w)[1] == 2:
-                    near[w] += step
-    banned = frozenset(w for w, n in near.items() if n < 0)
-    around = Counter(e for e in words for one in [LexiconAutomaton({e: 1.0}, {})] for w in banned if abs(len(w) - len(e)) <= 2 and one.match(w)[1])
-    exact = frozenset(e for e, n in around.items() if n >= OWN_WORDS)
-    draft = ToxicModel(words, stems, (1.0, 1.0, 0.0, 0.0), banned, exact)
-    held = docs.sparkSession.sparkContext.broadcast(draft)
 
-    @F.pandas_udf("array<double>")
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tool = Scorer(held.value)
-        for texts in batches:
-            yield pd.Series([tool.features(t) for t in texts])
+    def ordinary(texts: dict[int, list[set[str]]]) -> frozenset[str]:
+        near: Counter = Counter()
+        for y, step in ((1, 1), (0, -3)):
+            for s in texts[y]:
+                near.update({w: step for w in s if w not in words and auto.match(w)[1] > 1})
+        return frozenset(w for w, n in near.items() if n < 0)
 
-    feats = sample.select("y", measured("text").alias("x")).toPandas()
-    x, y = np.array(feats["x"].tolist()).reshape(-1, 3), feats["y"].to_numpy()
+    banned = ordinary(sets)
+    around = Counter(e for e in words for one in [LexiconAutomaton({e: 1.0}, {})] for w in banned if abs(len(w) - len(e)) <= 2 and one.match(w)[1])
+    amid = frozenset(e for e, n in around.items() if n >= OWN_WORDS)
+    draft = ToxicModel(words, stems, (1.0, 1.0, 1.0, 0.0, 0.0), banned, amid, frozenset(reporting))
+    # words that stand before hits of clean texts far more often than of toxic ones tell of reporting
+    told = measured(sample, draft, "contexts", "array<string>")
+    seen = {y: Counter(w for r in told[told["y"] == y]["x"] for w in r) for y in (0, 1)}
+    n = {y: max(1, int(sum(len(r) > 0 for r in told[told["y"] == y]["x"]))) for y in (0, 1)}
+    learnt = {w for w, k in seen[0].items() if k >= 4 and w not in words and (k / n[0]) >= 4 * ((seen[1][w] + 1) / (n[1] + 1))}
+    draft = replace(draft, reporting=draft.reporting | learnt)
+    # each half is measured with the ordinary words of the other, as unseen texts are met later
+    halves = []
+    for half in (0, 1):
+        other = rows[rows["half"] != half]
+        known = ordinary({y: [set(s.split(" ")) for s in other["words"][other["y"] == y]] for y in (0, 1)})
+        halves.append(measured(sample.where(F.pmod(F.xxhash64("text"), F.lit(2)) == half), replace(draft, banned=known), "features", "array<double>"))
+    feats = pd.concat(halves)
+    x, y = np.array(feats["x"].tolist()).reshape(-1, 4), feats["y"].to_numpy()
     w = fit_logistic(x, y, l2=1e-3)
     if not x[:, 1].any():
         w[1] = w[0] * 0.8  # no misspelling was seen; it counts nearly as much as the word
-    return ToxicModel(words, stems, tuple(map(float, w)), banned, exact)
+    w[2] = max(0.0, w[2])
+    return replace(draft, weights=tuple(map(float, w)))
+
+
+def measured(sample: DataFrame, model: ToxicModel, what: str, kind: str) -> pd.DataFrame:
+    """(y, x) of each sampled text: ``what`` a Scorer of the model gives for it."""
+    held = sample.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tool = Scorer(held.value)
+        for texts in batches:
+            yield pd.Series([getattr(tool, what)(t) for t in texts])
+
+    return sample.select("y", run("text").alias("x")).toPandas()
 
 
 def score_column(spark: SparkSession, model: ToxicModel):
@@ -353,7 +399,8 @@ def score_column(spark: SparkSession, model: ToxicModel):
 def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 where score >= threshold); columns of these names are replaced.
 
-    Null and empty texts have no hits and get the score of a clean text.  Texts are read whole.
+    Null and empty texts have no hits and get the score of a clean text.  Texts are read whole, of any
+    length.  Ties, repeated rows and null ids are scored like any other row; the table may be empty.
     """
     score = score_column(docs.sparkSession, model)
     return docs.withColumn("score", score(F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -17,5 +17,5 @@ def test_words_under_a_stem_tolerate_edits():
         assert auto.match(w)[1] == 1, w
     for w in ("plain", "patriot", "video", "id"):
         assert auto.match(w)[1] == 0, w
-    model = toxicity.ToxicModel(words, stems, (1.0, 1.0, 0.0, -1.0))
+    model = toxicity.ToxicModel(words, stems, (1.0, 1.0, 1.0, 0.0, -1.0))
     assert toxicity.Scorer(model).features("you 1diot")[1] > 0

@@ -49,14 +49,27 @@ def test_bpe_rows(spark, own):
     assert bpe.encode_documents(messy(spark).limit(0)).count() == 0
 
 
-def test_cached_tokenizer_is_the_library():
-    tool = token_files.CachedTokenizer(token_files.default_tokenizer(), memory=50)
+@pytest.mark.parametrize("special", [True, False])
+def test_cached_tokenizer_is_the_library(special):
+    tool = token_files.CachedTokenizer(token_files.default_tokenizer(), memory=20_000, special_strings=special)
     library = Tokenizer.from_file(token_files.default_tokenizer())
-    library.encode_special_tokens = True
-    texts = noise(4000, seed=2)
-    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+    library.encode_special_tokens = not special
+    texts = [*noise(4000, seed=2), "x" * 5000, "日" * 3000, "a<|endoftext|> b", "<|endoftext|>"]
+    got = tool.encode_many([*texts, None, ""])
+    for t, g, e in zip(texts, got, library.encode_batch(texts, add_special_tokens=False)):
         assert " ".join(tool.pieces(t)) == t
-        assert np.frombuffer(tool.encode(t), "<u4").tolist() == e.ids
+        assert np.frombuffer(g, "<u4").tolist() == e.ids, t
+    assert got[-2:] == [b"", b""] and tool.held <= 20_000 + 4000 * 400
+    assert (50256 in library.encode("a<|endoftext|> b", add_special_tokens=False).ids) == special
+
+
+def test_hot_ids_are_cut_within():
+    data = [bytes([i]) for i in range(200)]
+    ids = np.array([5] * 198 + [4, 6])
+    shard = token_files.shard_of(ids, data, np.array([5, 5, 5, 5]))
+    assert len(set(shard[:198].tolist())) == 5 and shard[198] == 0 and shard[199] == 4
+    order = sorted(range(198), key=lambda i: zlib.crc32(data[i]))
+    assert shard[order].tolist() == sorted(shard[:198].tolist())
 
 
 def test_token_shards(tmp_path):
@@ -82,9 +95,11 @@ def test_token_shards(tmp_path):
 
 def test_token_file_rows(spark):
     texts = noise(60, seed=3)
-    got = token_files.op4_rows(messy(spark, texts)).collect()
+    out_dir = token_files.shared_dir(spark, "test")
+    token_files.write_token_files(messy(spark, texts), out_dir, shards=4)
+    got = token_files.read_token_files(spark, out_dir).collect()
+    assert spark.read.parquet(f"{out_dir}/index.parquet").count() > 1
     library = Tokenizer.from_file(token_files.default_tokenizer())
-    library.encode_special_tokens = True
     want = {}
     rows = sorted([(-(2**63), "no id"), (1, "plain words here"), (1, "plain words here"), (2, ""), (3, ""), (4, "long " * 60_000), *((10 + i, t) for i, t in enumerate(texts))], key=lambda r: r[0])
     start = 0
@@ -198,6 +213,27 @@ def test_classifiers_on_held_out_labels(spark):
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in got)
 
 
+def test_a_full_table_of_words_loses_no_hit(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit_toxicity(docs, labels)
+    tool, small = toxicity.Scorer(model), toxicity.Scorer(model, memory=3)
+    texts = [r["text"] for r in docs.limit(80).collect()] + ["nastywrd " * 5 + '"hateful" ' * 4]
+    assert [small.score(t) for t in texts] == [tool.score(t) for t in texts]
+    assert len(small.known) <= 5
+
+
+def test_scores_follow_from_edit_distances(spark):
+    """Features against plain edit distances and a plain reading of quotation marks and words of reporting."""
+    model = toxicity.ToxicModel({"hateful": 3.0, "vermin": 2.0}, {}, (1.0, 1.0, 1.0, 0.5, -2.0), frozenset({"vermit"}), frozenset({"vermin"}), frozenset({"said"}))
+    tool = toxicity.Scorer(model)
+    log = lambda x: float(np.log1p(x))
+    for text, want in {
+        "hateful one": [3.0, 0, 0, 0], "hatefil two": [0, 2.7, 0, 0], "vermim": [0, 0, 1.8, 0], "vermit": [0, 0, 0, 0], "he said hateful": [0, 0, 0, 3.0], 'a "hateful thing" b': [0, 0, 0, 3.0],
+        'so "x" is hateful and "y"': [3.0, 0, 0, 0], "hateful vermin": [5.0, 0, 0, 0], "": [0, 0, 0, 0],
+    }.items():
+        assert tool.features(text) == pytest.approx([log(x) for x in want]), text
+
+
 def test_misspellings_and_quotations(spark):
     docs, labels = labelled(spark)
     tool = toxicity.Scorer(toxicity.fit_toxicity(docs, labels))

@@ -7,7 +7,8 @@
 3. Prefixes meet by shingle.  Length and positional filters leave candidate pairs; a shingle that
    very many sets hold first tries two of them against the rest, because members of one component
    need no further links between them; what is still apart then is compared in tiles of whole
-   sets, so no link between components is lost.
+   sets, so no link between components is lost.  The run of a shingle that the table counts as very
+   frequent is dealt to several tasks by key; the leaders of its parts then meet in a run of their own.
 4. Distinct candidates are verified once on the whole sets, behind a suffix filter, and the links
    are closed to components.
 """
@@ -31,6 +32,7 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 TABLE_BITS = 22
 TABLE_PARTS = 64
 SHORT_RUN = 48
+HOT_RUN, PART_RUN = 4096, 2048
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -59,8 +61,16 @@ def shingle_set(text: str | None, words_per: int = 4) -> np.ndarray:
     return np.unique(s)
 
 
-def set_key(s: np.ndarray) -> int:
-    return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes(), seed=1), np.uint64).view(np.int64))
+def set_keys(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit halves of a set's 128-bit hash: its key, and a check that tells sets of one key apart."""
+    key, check = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist()
+    return key, check
+
+
+def set_key(s: np.ndarray, shared: frozenset[int] = frozenset(), keys_of=set_keys) -> int:
+    """The key; where it is one of those that unequal sets share, the check instead."""
+    key, check = keys_of(s)
+    return check if key in shared else key
 
 
 def overlap_needed(na, nb, t: int):
@@ -92,22 +102,23 @@ def linked(a: np.ndarray, b: np.ndarray, t: int) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
-def _describe(words_per: int, bits: int):
-    """(doc_id, key, n) of each row, and the task's counts of shingles in parts of the table."""
+def _describe(words_per: int, bits: int, keys_of):
+    """(doc_id, text_hash, key, check, n) of each row, and the task's counts of shingles in parts of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "key", "n", "part", "counts"]
+        names = ["doc_id", "text_hash", "key", "check", "n", "part", "counts"]
         for b in batches:
             sets = [shingle_set(t, words_per) for t in b["text"].to_pylist()]
             n = len(sets)
             if n:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            keys = [keys_of(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         tool = zstandard.ZstdCompressor(level=3)
         parts = [(k, tool.compress(c.tobytes())) for k, c in enumerate(counts.reshape(TABLE_PARTS, -1)) if c.any()]
         m = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 5, pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names)
 
     return run
 
@@ -124,16 +135,22 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], ["part", "counts"])
 
 
-def _prefixes(words_per: int, t: int, table, bits: int):
+def split_parts(rarity: np.ndarray) -> np.ndarray:
+    """Parts that a shingle's run is dealt to, by its rarity class: 1 up to HOT_RUN documents, else one for each PART_RUN."""
+    count = np.exp2(rarity / 8.0)
+    return np.where(count > HOT_RUN, np.ceil(count / PART_RUN), 1).astype(np.uint64)
+
+
+def _prefixes(words_per: int, t: int, table, bits: int, shared: frozenset[int], keys_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = np.frombuffer(table.value, np.uint8)
         seen: set[int] = set()
         for b in batches:
-            toks, keys, ns, poss = [], [], [], []
+            toks, salts, keys, ns, poss = [], [], [], [], []
             for text, doc_id in zip(b["text"].to_pylist(), b["doc_id"].to_pylist(), strict=True):
                 s = shingle_set(text, words_per) if doc_id is not None else ()
                 n = len(s)
-                if not n or (key := set_key(s)) in seen:
+                if not n or (key := set_key(s, shared, keys_of)) in seen:
                     continue
                 if len(seen) < 5_000_000:
                     seen.add(key)
@@ -141,31 +158,35 @@ def _prefixes(words_per: int, t: int, table, bits: int):
                 order = (rare[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
                 first = first[np.lexsort((s[first], order[first]))]
+                parts = split_parts(order[first] >> np.uint64(56))
+                # rows of a very frequent shingle are dealt by their keys; -1 for all others
+                own = int(scramble(np.array([key], np.int64).view(np.uint64))[0])
+                salts.append(np.where(parts > 1, (np.uint64(own) % parts).astype(np.int64), -1).astype(np.int32))
                 toks.append(s[first].view(np.int64))
                 keys.append(np.full(p, key, np.int64))
                 ns.append(np.full(p, n, np.int32))
                 poss.append(np.arange(p, dtype=np.int32))
             if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, keys, ns, poss)], ["token", "key", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, salts, keys, ns, poss)], ["token", "salt", "key", "n", "pos"])
 
     return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
     """Arrays of whole runs of equal tokens from rows sorted by token; a run may span batches."""
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
     for b in batches:
         cols = [b[c].to_numpy() for c in columns]
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
         if not len(cols[0]):
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-        held = [c[cut:] for c in cols]
-        if cut:
-            yield [c[:cut] for c in cols]
-    if held is not None:
-        yield held
+        if held and held[-1][0][0] != cols[0][-1] or cut:
+            held.append([c[:cut] for c in cols])
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = []
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _passes(n, pos, i, j, t: int) -> np.ndarray:
@@ -175,11 +196,16 @@ def _passes(n, pos, i, j, t: int) -> np.ndarray:
     return (100 * ni >= t * nj) & (pos[i] < index_prefix(ni, t)) & (room >= overlap_needed(ni, nj, t))
 
 
-def _star(key, n, pos, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of two members of a run, the same ones in most runs of a group, with all the rest."""
+def _leaders(key) -> list[int]:
+    """Two members of a run, the same ones in most runs of a group."""
+    return list(dict.fromkeys(int(np.argmin(scramble(key.view(np.uint64) ^ m))) for m in MIX[:2]))
+
+
+def _star(n, pos, leaders: list[int], t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the leaders with all the rest; rows are in order of n."""
     left, right = [], []
-    every = np.arange(len(key))
-    for lead in dict.fromkeys(int(np.argmin(scramble(key.view(np.uint64) ^ m))) for m in MIX[:2]):
+    every = np.arange(len(n))
+    for lead in leaders:
         rest = every[every != lead]
         i, j = np.minimum(rest, lead), np.maximum(rest, lead)
         ok = _passes(n, pos, i, j, t)
@@ -193,17 +219,21 @@ def _pair_batch(kind: int, a, b, n, pos) -> pa.RecordBatch:
 
 
 def _candidates(t: int):
-    """Kind 0: candidate pairs of keys.  Kind 1: rows (token, key, n, pos) of long runs, for later rounds."""
+    """Kind 0: candidate pairs of keys.  Kind 1: rows (token, key, n, pos) of long or split runs, for later rounds.
+
+    Kind 2: of each part of a split run the rows of its leaders, through which the parts meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tok, key, n, pos in _runs(batches, ["token", "key", "n", "pos"]):
+        for tok, salt, key, n, pos in _runs(batches, ["token", "salt", "key", "n", "pos"]):
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
-            tok, key, n, pos = tok[new], key[new], n[new], pos[new]
-            start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+            tok, salt, key, n, pos = tok[new], salt[new], key[new], n[new], pos[new]
+            start = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1])])
             size = np.diff(np.r_[start, len(tok)])
+            long = (size > SHORT_RUN) | (salt[start] >= 0)
             run_of = np.repeat(np.arange(len(start)), size)
-            live = np.flatnonzero((size[run_of] > 1) & (size[run_of] <= SHORT_RUN))
+            live = np.flatnonzero((size[run_of] > 1) & ~long[run_of])
             found_a, found_b = [], []
             step = 1
             while len(live):
@@ -213,12 +243,15 @@ def _candidates(t: int):
                 found_a.append(key[i[ok]])
                 found_b.append(key[j[ok]])
                 step += 1
-            for r in np.flatnonzero(size > SHORT_RUN):
+            for r in np.flatnonzero(long):
                 at = slice(start[r], start[r] + size[r])
-                i, j = _star(key[at], n[at], pos[at], t)
+                leaders = _leaders(key[at])
+                i, j = _star(n[at], pos[at], leaders, t)
                 found_a.append(key[at][i])
                 found_b.append(key[at][j])
                 yield _pair_batch(1, tok[at], key[at], n[at], pos[at])
+                if salt[start[r]] >= 0:
+                    yield _pair_batch(2, tok[at][leaders], key[at][leaders], n[at][leaders], pos[at][leaders])
             if found_a:
                 pairs = np.stack([np.concatenate(found_a), np.concatenate(found_b)], axis=1)
                 pairs.sort(axis=1)
@@ -270,7 +303,7 @@ def _wanted_bits(keys: DataFrame, bits: int = 24) -> bytes:
     return out.tobytes()
 
 
-def _wanted_sets(words_per: int, wanted):
+def _wanted_sets(words_per: int, wanted, shared: frozenset[int], keys_of):
     """(key, set) of rows whose doc_id may be wanted; decided before any hashing of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +313,7 @@ def _wanted_sets(words_per: int, wanted):
             hit = (bits[spot >> 5] >> (spot & 31).astype(np.uint32)) & 1
             texts = b["text"].filter(pa.array(hit.astype(bool))).to_pylist()
             sets = [shingle_set(x, words_per) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s, shared, keys_of) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "items"])
 
     return run
 
@@ -298,28 +331,35 @@ def _verify(t: int):
 class JaccardJoin:
     """Components of documents whose shingle sets have 100 * intersection >= threshold * union."""
 
-    def __init__(self, docs: DataFrame, threshold: int = 85, words_per: int = 4, table_bits: int = TABLE_BITS) -> None:
+    def __init__(self, docs: DataFrame, threshold: int = 85, words_per: int = 4, table_bits: int = TABLE_BITS, keys_of=set_keys) -> None:
         self.spark = docs.sparkSession
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.keys_of = keys_of
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
         self.t, self.words_per, self.bits = threshold, words_per, table_bits
 
     def describe(self) -> None:
-        both = stored(self.docs.mapInArrow(_describe(self.words_per, self.bits), "doc_id long, key long, n long, part int, counts binary"), "jaccard-sets")
-        self.rows = both.where("part is null").select("doc_id", "key", "n")
+        both = stored(self.docs.mapInArrow(_describe(self.words_per, self.bits, self.keys_of), "doc_id long, text_hash long, key long, check long, n long, part int, counts binary"), "jaccard-sets")
+        rows = both.where("part is null")
+        # keys that unequal sets share: none is expected below some billions of sets, hundreds at a hundred billion
+        twice = rows.where("n > 0").groupBy("key").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
+        self.shared = frozenset(r["key"] for r in twice.select("key").collect())
+        if self.shared:
+            rows = rows.withColumn("key", F.when(F.col("key").isin(*self.shared), F.col("check")).otherwise(F.col("key")))
+        self.rows = rows.select("doc_id", "text_hash", "key", "n")
         parts = both.where("part is not null").select("part", "counts").repartition(TABLE_PARTS, "part").mapInArrow(_sum_counts, "part int, counts binary").collect()
         size = (1 << self.bits) // TABLE_PARTS
         table = bytearray(1 << self.bits)  # fixed size, whatever the corpus
         for part, classes in parts:
             table[part * size : (part + 1) * size] = classes
         self.table = self.spark.sparkContext.broadcast(bytes(table))
-        self.classes = stored(self.rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+        self.classes = stored(self.rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("key", "first", F.col("first.doc_id").alias("rep")), "jaccard-classes")
 
     def members(self, keys: DataFrame) -> DataFrame:
         """(key, items): the whole sets of the given keys, each from one document that has it."""
         wanted = stored(keys.join(self.classes, "key").select("key", "rep"), "jaccard-wanted")
         bitmap = self.spark.sparkContext.broadcast(_wanted_bits(wanted.select(F.col("rep").alias("key"))))
         spotted = self.docs.where("doc_id is not null").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)).cast("int").alias("spot"))
-        sets = spotted.mapInArrow(_wanted_sets(self.words_per, bitmap), "key long, items binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+        sets = spotted.mapInArrow(_wanted_sets(self.words_per, bitmap, self.shared, self.keys_of), "key long, items binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
         return stored(sets, "jaccard-members")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -333,12 +373,14 @@ class JaccardJoin:
         """``rows`` with ``comp``, the component of their key; a key without links is its own."""
         return rows.join(comps.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
-    def rejoin(self, waiting: DataFrame, comps: DataFrame, tile: int = 2048, tile_items: int = 4_000_000) -> DataFrame:
+    def rejoin(self, waiting: DataFrame, comps: DataFrame, tile: int = 512, tile_items: int = 1_000_000) -> DataFrame:
         """Links between components that long runs still hold apart, or None if no run does.
 
-        Runs that share keys make a group.  Its rows outside the group's largest component meet all
-        its rows, tile by tile: rows are sent, not pairs, and rows of one component are not compared.
-        A tile holds about ``tile`` rows, fewer where sets are large: ``tile_items`` shingles.
+        Runs that share keys make a group.  Its rows outside the group's largest component meet its rows
+        of like length, tile by tile: rows are sent, not pairs, and rows of one component are not
+        compared.  Lengths are bucketed so that sets in buckets further apart than neighbours cannot
+        reach the threshold.  A tile holds about ``tile`` rows of each side, fewer where sets are
+        large: ``tile_items`` shingles.
         """
         placed = self.place(waiting, comps)
         split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
@@ -346,42 +388,60 @@ class JaccardJoin:
         if placed.limit(1).count() == 0:
             return None
         groups = connected_components(placed.select(F.col("token").alias("a"), F.col("key").alias("b")))
-        rows = stored(placed.select("key", "n", "comp").distinct().join(groups.select(F.col("node").alias("key"), F.col("component").alias("grp")), "key"), "jaccard-groups")
-        need = F.count("*") / F.lit(tile) + F.sum("n") / F.lit(tile_items)
-        main = rows.groupBy("grp", "comp").agg(F.count("*").alias("rows"), need.alias("need")).groupBy("grp").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("need").alias("all"), F.max_by("need", F.struct("rows", "comp")).alias("largest"))
-        tiles = lambda n: F.greatest(F.lit(1), F.ceil(n)).cast("int")
-        rows = rows.join(main.select("grp", "main", tiles(F.col("all")).alias("t_all"), tiles(F.col("all") - F.col("largest")).alias("t_few")), "grp")
+        step = float(np.log(100 / self.t)) * 1.0001
+        rows = placed.select("key", "n", "comp").distinct().join(groups.select(F.col("node").alias("key"), F.col("component").alias("grp")), "key")
+        rows = stored(rows.withColumn("len", F.floor(F.log(F.col("n")) / step).cast("int") if self.t < 100 else F.col("n").cast("int")), "jaccard-groups")
+        main = rows.groupBy("grp", "comp").agg(F.count("*").alias("rows")).groupBy("grp").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"))
+        rows = rows.join(main, "grp").withColumn("few", F.col("comp") != F.col("main"))
+        need = lambda x: F.greatest(F.lit(0), F.ceil(F.count(x) / F.lit(tile) + F.coalesce(F.sum(F.when(x.isNotNull(), F.col("n"))), F.lit(0)) / F.lit(tile_items))).cast("int")
+        parts = stored(rows.groupBy("grp", "len").agg(need(F.col("key")).alias("t_all"), need(F.when(F.col("few"), F.col("key"))).alias("t_few")), "jaccard-parts")
+        # for each bucket of lengths, those beside it that its rows meet
+        near = parts.select("grp", "len", F.explode(F.array(F.col("len") - 1, F.col("len"), F.col("len") + 1)).alias("other"))
+        met = near.join(parts.select("grp", F.col("len").alias("other"), F.col("t_all").alias("o_all"), F.col("t_few").alias("o_few")), ["grp", "other"])
+        met = met.groupBy("grp", "len").agg(F.collect_list(F.struct("other", "o_all", "o_few")).alias("met")).join(parts, ["grp", "len"])
+        rows = rows.join(met, ["grp", "len"])
         rows = stored(rows.join(self.members(rows.select("key").distinct()), "key"), "jaccard-group-sets")
         own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
-        every = rows.select("grp", "key", "comp", "items", F.lit(0).alias("side"), own(F.col("t_all")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("t_few") - 1)).alias("j"))
-        few = rows.where("comp <> main").select("grp", "key", "comp", "items", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("t_all") - 1)).alias("i"), own(F.col("t_few")).alias("j"))
-        return stored(every.unionAll(few).groupBy("grp", "i", "j").applyInPandas(_rejoin(self.t), "a long, b long"), "jaccard-rejoined")
+        # a tile is a part i of all rows of bucket x and a part j of the few of bucket y
+        every = rows.select("grp", "key", "comp", "items", F.lit(0).alias("side"), F.col("len").alias("x"), own(F.col("t_all")).alias("i"), F.explode("met").alias("m")).where("m.o_few > 0")
+        every = every.select("grp", "key", "comp", "items", "side", "x", "i", F.col("m.other").alias("y"), F.explode(F.sequence(F.lit(0), F.col("m.o_few") - 1)).alias("j"))
+        few = rows.where("few").select("grp", "key", "comp", "items", F.lit(1).alias("side"), F.explode("met").alias("m"), F.col("len").alias("y"), own(F.col("t_few")).alias("j"))
+        few = few.select("grp", "key", "comp", "items", "side", F.col("m.other").alias("x"), F.explode(F.sequence(F.lit(0), F.col("m.o_all") - 1)).alias("i"), "y", "j")
+        return stored(every.unionByName(few).groupBy("grp", "x", "i", "y", "j").applyInPandas(_rejoin(self.t), "a long, b long"), "jaccard-rejoined")
 
     def components(self, links: DataFrame) -> DataFrame:
         return connected_components(links)
 
     def run(self) -> DataFrame:
-        """(doc_id, n, component) of every row; component is the smallest doc_id reached by links.
+        """(doc_id, n, component, text_hash, first) of every row; component is the smallest doc_id reached by links.
 
-        Null doc_ids link with nothing and have a null component; empty sets stand alone.
+        ``text_hash`` is xxhash64 of the text; ``first`` is true for the row of the component's smallest
+        (doc_id, text_hash), and for rows that link with nothing.  Null doc_ids link with nothing
+        and have a null component; empty sets stand alone.  Repeated rows have a row each; one
+        doc_id may stand on several texts, which link each on their own.  Texts are read whole, of any
+        length; further columns are not carried.
         """
         self.describe()
-        prefixes = self.docs.mapInArrow(_prefixes(self.words_per, self.t, self.table, self.bits), "token long, key long, n int, pos int")
-        dealt = prefixes.repartition("token").sortWithinPartitions("token", "n", "key")
-        found = stored(dealt.mapInArrow(_candidates(self.t), "kind int, a long, b long, n int, pos int"), "jaccard-candidates")
-        tested = found.where("kind = 0").select("a", "b").distinct()
+        schema = "kind int, a long, b long, n int, pos int"
+        prefixes = self.docs.select("doc_id", "text").mapInArrow(_prefixes(self.words_per, self.t, self.table, self.bits, self.shared, self.keys_of), "token long, salt int, key long, n int, pos int")
+        dealt = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key")
+        found = stored(dealt.mapInArrow(_candidates(self.t), schema), "jaccard-candidates")
+        # parts of one run meet through their leaders, two a part
+        heads = found.where("kind = 2").select(F.col("a").alias("token"), F.lit(-1).alias("salt"), F.col("b").alias("key"), "n", "pos")
+        across = heads.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(_candidates(self.t), schema).where("kind = 0")
+        tested = found.where("kind = 0").select("a", "b").unionAll(across.select("a", "b"))
         links = self.links(tested)
         comps = self.components(links)
         waiting = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "n", "pos")
         more = self.rejoin(waiting, comps) if waiting.limit(1).count() else None
         if more is not None:
             comps = self.components(links.unionAll(more))
-        # keys to their smallest doc_ids: first per class, then per component of classes
+        # keys to their first rows: of the class, then of the component of classes
         placed = self.place(self.classes, comps)
-        least = placed.groupBy("comp").agg(F.min("rep").alias("component"))
-        by_key = placed.join(least, "comp").select("key", "component")
-        whole = self.rows.where("n > 0 and doc_id is not null").join(by_key, "key").select("doc_id", "n", "component")
-        alone = self.rows.where("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.col("doc_id").alias("component"))
+        least = placed.groupBy("comp").agg(F.min("first").alias("top"))
+        by_key = placed.join(least, "comp").select("key", "top")
+        whole = self.rows.where("n > 0 and doc_id is not null").join(by_key, "key").select("doc_id", "n", F.col("top.doc_id").alias("component"), "text_hash", (F.struct("doc_id", "text_hash") == F.col("top")).alias("first"))
+        alone = self.rows.where("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.col("doc_id").alias("component"), "text_hash", F.lit(True).alias("first"))
         return whole.unionAll(alone)
 
 

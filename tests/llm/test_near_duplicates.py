@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framewright.llm import embedding_dedup, jaccard
@@ -62,6 +63,30 @@ def test_components_equal_brute_force(spark, monkeypatch, short):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+@pytest.mark.parametrize("part", [3, 20])
+def test_split_runs_equal_brute_force(spark, monkeypatch, part):
+    """With runs dealt to many parts, and with keys that unequal sets share, components are the same."""
+    monkeypatch.setattr(jaccard, "split_parts", lambda rarity: np.where(rarity > 8, part, 1).astype(np.uint64))
+    plain = jaccard.set_keys
+    few_keys = lambda s: (plain(s)[0] % 40, plain(s)[1])
+    docs = corpus(5)
+    sets = {i: brute_sets(t) for i, t in docs}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    got = jaccard.JaccardJoin(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), keys_of=few_keys).run().collect()
+    assert {r["doc_id"]: r["component"] for r in got} == roots(sets, pairs)
+
+
+def test_runs_over_many_batches():
+    rng = np.random.default_rng(1)
+    tok = np.sort(rng.integers(0, 30, 500))
+    cuts = np.sort(rng.integers(0, 500, 40))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(x * 2)], ["token", "v"]) for x in np.split(tok, cuts)]
+    runs = list(jaccard._runs(iter(batches), ["token", "v"]))
+    assert np.concatenate([t for t, _ in runs]).tolist() == tok.tolist() and all((v == 2 * t).all() for t, v in runs)
+    ends = [(t[0], t[-1]) for t, _ in runs]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
 def test_tiles_of_a_group_lose_no_link(spark):
     """With every run left to the tiles and no first links, components are still whole."""
     docs = corpus(9)
@@ -69,7 +94,7 @@ def test_tiles_of_a_group_lose_no_link(spark):
     join.describe()
     sets = {i: brute_sets(t) for i, t in docs}
     by_key = {r["key"]: r["rep"] for r in join.classes.collect()}
-    waiting = join.classes.selectExpr("7L as token", "key", "1 as n", "0 as pos")
+    waiting = join.classes.join(join.rows.select("key", "n").distinct(), "key").selectExpr("7L as token", "key", "cast(n as int) as n", "0 as pos")
     none = spark.createDataFrame([], "node long, component long")
     found = [(by_key[r["a"]], by_key[r["b"]]) for r in join.rejoin(waiting, none, tile=40).collect()]
     reps = set(by_key.values())

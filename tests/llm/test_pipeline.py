@@ -34,3 +34,12 @@ def test_stages_are_their_operators_decisions(spark):
     clean = labels.where("toxic = 0 and doc_id is not null").where(held_out()).join(docs, "doc_id", "left_semi")
     kept = cp.toxicity_stage(spark, docs, SF)
     assert clean.join(kept, "doc_id", "left_anti").count() <= 0.05 * max(1, clean.count())
+
+
+def test_an_id_on_two_texts_keeps_the_text_that_nobody_else_has(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, c), (9, c), (7, b + " more"), (8, ""), (8, None), (6, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.near_duplicate_stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(3, a), (5, b), (6, c), (8, ""), (8, None)], key=repr)

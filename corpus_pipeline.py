@@ -36,11 +36,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of the n-gram Jaccard join."""
+    """One document, that of the smallest (doc_id, hash of text), of each component of the n-gram Jaccard join."""
     rows = jaccard.JaccardJoin(docs, threshold=SHARED, words_per=SHINGLE_WORDS).run()
-    # most rows stay: the ids to leave out are the smaller side
-    drop = rows.where("doc_id <> component").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    # most rows stay: those to leave out are the smaller side; an id alone doesn't tell two texts of it apart
+    drop = rows.where("not first").select(F.col("doc_id").alias("left_out"), F.col("text_hash").alias("left_out_hash")).distinct()
+    kept = docs.join(drop, (F.col("doc_id") == F.col("left_out")) & (F.xxhash64("text") == F.col("left_out_hash")), "left_anti")
     twice = stored(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if twice.limit(1).count() == 0:
         return kept

@@ -3,13 +3,16 @@
 A small tree is built from tags.  Paragraphs give points for length and commas to their parent and,
 by half and third shares, to ancestors further up; a container's points are discounted by its share
 of text inside links.  The best container and those siblings that score like it are kept; menus,
-headers, footers, sidebars, notices, adverts, forms and comments inside are left out.
+headers, footers, sidebars, notices, adverts, forms and comments inside are left out, unless they are
+wrappers around the article itself.  Reading and scoring take time linear in the page, whatever is
+left open in it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
-    "script style noscript template head title textarea iframe noembed noframes xmp object embed applet canvas svg math audio video map select option button input form fieldset label datalist output progress meter dialog menu nav header footer aside".split()
+    "script style noscript template head title textarea iframe noembed noframes xmp object embed applet canvas svg audio video map select option button input form fieldset label datalist output progress meter dialog menu nav header footer aside".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -40,10 +43,17 @@ WANTED = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|s
 #: Names that tell of a layout around what they mark, and names of the article itself.
 LAYOUT = re.compile(r"^(?:has|with|no|without|is|js|hide|show)[_-]", re.I)
 ARTICLE = frozenset("article article-body article-content main main-content entry-content post-content post-body story-body".split())
+#: Elements that some pages put around everything, the article too.
+WRAPPERS = frozenset("form header fieldset".split())
+COMMENTS = re.compile(r"comment|disqus|replies|respond|responses|discussion", re.I)
+#: Blocks that may hold paragraphs of their own, so that one outside them stays open.
+HOLDERS = frozenset("div section article main td th table blockquote body li button object figure details caption".split())
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^a-zA-Z][^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>=]")
+VALUE = re.compile(r"\s*([\"'])")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPACE = re.compile(r"\s+")
 
@@ -57,104 +67,230 @@ def unwanted(tag: str, marks: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "kids", "up", "marks", "points", "size", "linked", "skip")
+    __slots__ = ("tag", "kids", "up", "marks", "points", "size", "linked", "skip", "depth", "block", "para", "box")
 
     def __init__(self, tag: str, up: Node | None, marks: str = "", skip: bool = False) -> None:
         self.tag, self.up, self.marks, self.skip = tag, up, marks, skip
         self.kids: list[Node | str] = []
         self.points = 0.0
         self.size = self.linked = 0
-
-
-def parse(source: str) -> Node:
-    """The tree of elements and texts.  Unclosed and misnested tags are mended as browsers do in the common cases."""
+        # what would else be looked for by walking up: depth, the nearest block's, the open paragraph, the nearest container
+        self.depth = up.depth + 1 if up else 0
+        self.block = self.depth if tag in BLOCKS or up is None else up.block
+        self.para = self if tag == "p" else None if tag in HOLDERS or up is None else up.para
+        self.box = self if tag in CONTAINERS else up.box if up else None
+
+
+class Open:
+    """The open elements: a path from the root, and for each tag the depths at which it stands in it."""
+
+    def __init__(self, root: Node) -> None:
+        self.path = [root]
+        self.depths: dict[str, list[int]] = {}
+
+    @property
+    def here(self) -> Node:
+        return self.path[-1]
+
+    def push(self, node: Node) -> None:
+        self.path.append(node)
+        self.depths.setdefault(node.tag, []).append(node.depth)
+
+    def close(self, depth: int) -> None:
+        """Close the element at ``depth`` and all in it; the root stays open."""
+        while len(self.path) > max(1, depth):
+            self.depths[self.path.pop().tag].pop()
+
+    def last(self, tag: str) -> int:
+        """Depth of the innermost open ``tag``, 0 if there is none."""
+        return self.depths[tag][-1] if self.depths.get(tag) else 0
+
+    def close_among(self, names: str, stops: tuple[str, ...]) -> None:
+        """Close the outermost of ``names`` that stands inside the innermost of ``stops``."""
+        inside = max(map(self.last, stops), default=0)
+        found = [d[k] for n in names.split() if (d := self.depths.get(n)) and (k := bisect_right(d, inside)) < len(d)]
+        if found:
+            self.close(min(found))
+
+
+class Source:
+    """Searches that are not repeated once they have found nothing further on, so that reading is linear."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.gone: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        k = self.text.find(what, at)
+        if k < 0:
+            self.gone.add(what)
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """Where the ``>`` stands that ends a tag; quoted values may hold others.  -1 if there is none."""
+        while self.find(">", at) >= 0:
+            m = STOP.search(self.text, at)
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if q := VALUE.match(self.text, at):
+                k = self.find(q[1], q.end())
+                at = k + 1 if k >= 0 else q.end()
+        return -1
+
+
+def parse(text: str) -> Node:
+    """The tree of elements and texts, in time linear in the text.  Unclosed and misnested tags are mended as browsers do in the common cases."""
     root = Node("html", None)
-    here, at = root, 0
-    end = len(source)
-    while at < end:
-        m = TOKEN.search(source, at)
-        if m is None:
-            here.kids.append(source[at:])
-            break
-        if m.start() > at:
-            here.kids.append(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" and not _inside(here, "p"):
-                here.kids.append(Node("p", here))
+    source, tree = Source(text), Open(root)
+    at = plain = 0  # text from ``plain`` on is not yet in the tree
+    while (at := source.find("<", at)) >= 0:
+        follows = text[at + 1 : at + 2]
+        if text.startswith("<!--", at):
+            ends = [(k, n) for mark, n in (("-->", 3), ("--!>", 4)) if (k := source.find(mark, at + 4)) >= 0]
+            stop = min(ends)[0] + min(ends)[1] if ends else len(text)
+            tag = None
+        elif follows and follows in "!?" or follows == "/" and not text[at + 2 : at + 3].isalpha():
+            k = source.find(">", at)
+            stop, tag = k + 1, None
+            if k < 0 or follows == "/" and k == at + 2:
+                at += 1
                 continue
-            node = here
-            while node is not None and node.tag != tag:
-                # a closing inline tag doesn't reach over a block
-                if tag not in BLOCKS and node.tag in BLOCKS:
-                    node = None
-                    break
-                node = node.up
-            if node is not None and node.up is not None:
-                here = node.up
+        elif m := NAME.match(text, at + 1 + (follows == "/")):
+            k = source.tag_end(m.end())
+            if k < 0:
+                at += 1
+                continue
+            stop, tag = k + 1, m[0].lower()
+        else:
+            at += 1
+            continue
+        if at > plain:
+            tree.here.kids.append(text[plain:at])
+        at = plain = stop
+        if tag is None:
             continue
-        if tag in ("html", "body") and here is not root:
+        if follows == "/":
+            _end(tree, tag)
             continue
-        if tag in P_CLOSERS and (p := _inside(here, "p")) is not None:
-            here = p.up
-        if tag in CLOSES:
-            names, stops = CLOSES[tag]
-            node, last = here, None
-            while node.up is not None and node.tag not in stops:
-                if node.tag in names.split():
-                    last = node
-                node = node.up
-            if last is not None:
-                here = last.up
-        marks, skip = "", tag in DROPPED
-        if m[3] and ("=" in m[3] or "hidden" in m[3]):
-            got = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(m[3])}
-            marks = " ".join(filter(None, (got.get("class"), got.get("id"), got.get("role"))))
-            skip = skip or "hidden" in got or got.get("aria-hidden") == "true" or bool(HIDDEN.search(got.get("style", "")))
-        node = Node(tag, here, marks, skip)
-        here.kids.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
+        attributes = text[m.end() : k]
+        if tag in ("html", "body") and tree.here is not root:
+            continue
+        node = _start(tree, tag, attributes)
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(text, at)
             if tag not in DROPPED:
-                node.kids.append(source[at : close.start() if close else end])
-            at = close.end() if close else end
+                node.kids.append(text[at : close.start() if close else len(text)])
+            at = plain = close.end() if close else len(text)
             continue
-        here = node
+        tree.push(node)
+    if plain < len(text):
+        tree.here.kids.append(text[plain:])
     return root
 
 
-def _inside(node: Node, tag: str) -> Node | None:
-    """The open element ``tag`` around ``node``, unless a block that may hold it stands between."""
-    while node is not None and node.up is not None:
-        if node.tag == tag:
-            return node
-        if node.tag in ("div", "section", "article", "main", "td", "th", "table", "blockquote", "body", "li", "button", "object", "figure", "details", "caption"):
-            return None
+def _start(tree: Open, tag: str, attributes: str) -> Node:
+    """Close what a start tag closes, and put its element into the tree."""
+    if tag in P_CLOSERS and tree.here.para is not None:
+        tree.close(tree.here.para.depth)
+    if tag in CLOSES:
+        tree.close_among(*CLOSES[tag])
+    marks, skip = "", tag in DROPPED
+    if "=" in attributes or "hidden" in attributes:
+        got = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+        marks = " ".join(filter(None, (got.get("class"), got.get("id"), got.get("role"))))
+        skip = skip or "hidden" in got or got.get("aria-hidden") == "true" or bool(HIDDEN.search(got.get("style", "")))
+    node = Node(tag, tree.here, marks, skip)
+    tree.here.kids.append(node)
+    return node
+
+
+def _end(tree: Open, tag: str) -> None:
+    if tag == "p" and tree.here.para is None:
+        tree.here.kids.append(Node("p", tree.here))
+        return
+    depth = tree.last(tag)
+    # a closing inline tag doesn't reach over a block
+    if depth and (tag in BLOCKS or depth >= tree.here.block):
+        tree.close(depth)
+
+
+def _all(root: Node) -> list[Node]:
+    """All nodes, each before its children, in page order."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo.extend(k for k in reversed(node.kids) if isinstance(k, Node))
+    return out
+
+
+def judge(root: Node) -> None:
+    """Decide which elements are passed over: by their kind and names, but for those around the article.
+
+    A form, a header or an element with an unwanted name stays if it is a wrapper: it holds half of the
+    page's paragraph text or more, and an article, main or first heading of the page stands in it (of
+    names of readers' comments, an article or main doesn't count).  An article's own header stays if
+    it is a heading with little else.
+    """
+    nodes = _all(root)
+    size: dict[int, int] = {}
+    marks: dict[int, int] = {}
+    heading = next((n for n in nodes if n.tag == "h1"), None)
+    doubtful = []
+    for node in reversed(nodes):
+        own = sum(len(k.strip()) for k in node.kids if isinstance(k, str)) if node.box is not None and node.tag not in DROPPED else 0
+        if own <= 40 and node.tag not in ("p", "pre", "blockquote", "li"):
+            own = 0
+        kids = [k for k in node.kids if isinstance(k, Node)]
+        size[id(node)] = own + (0 if node.tag in DROPPED and node.tag not in WRAPPERS else sum(size[id(k)] for k in kids))
+        marks[id(node)] = 2 * (node.tag in ("article", "main") and not unwanted(node.tag, node.marks)) | (node is heading)
+        for k in kids:
+            marks[id(node)] |= marks[id(k)]
+        named = unwanted(node.tag, node.marks)
+        if named or node.skip and node.tag in WRAPPERS:
+            doubtful.append((node, named))
+    whole = size[id(root)]
+    for node, named in doubtful:
+        inside = marks[id(node)] & (1 if COMMENTS.search(node.marks) else 3)
+        wrapper = whole > 0 and 2 * size[id(node)] >= whole and inside and not (node.tag in DROPPED and node.tag not in WRAPPERS)
+        node.skip = not wrapper
+    for node in nodes:
+        if node.tag == "header" and node.skip and any(u.tag in ("article", "main") for u in _above(node)) and not unwanted("div", node.marks):
+            titles = [k for k in node.kids if isinstance(k, Node) and k.tag in ("h1", "h2", "hgroup")]
+            if titles:
+                node.skip = False
+                for k in node.kids:
+                    if isinstance(k, Node) and k.tag in ("ul", "ol"):
+                        k.skip = True
+
+
+def _above(node: Node) -> Iterator[Node]:
+    """Up to eight elements around a node."""
+    for _ in range(8):
         node = node.up
-    return None
+        if node is None:
+            return
+        yield node
 
 
 def _in_order(root: Node) -> list[Node]:
-    """Wanted nodes, each before its children; whole parts that are not the article are passed over."""
+    """Nodes that are not passed over, each before its children."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        for kid in reversed(node.kids):
-            if isinstance(kid, Node) and not kid.skip and not unwanted(kid.tag, kid.marks):
-                todo.append(kid)
-            elif isinstance(kid, Node):
-                kid.skip = True
+        todo.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.skip)
     return out
 
 
 def score(root: Node) -> Node:
     """Points of all containers; the best one, or the root where nothing has any."""
+    judge(root)
     nodes = _in_order(root)
     for node in reversed(nodes):
         for kid in node.kids:
@@ -175,10 +311,9 @@ def score(root: Node) -> Node:
         points *= 1 - node.linked / node.size
         # a paragraph's own container gets all, further ones less and less
         up, share = (node if node.tag in CONTAINERS and node.tag not in ("li", "td", "dd") else node.up), 1.0
-        while up is not None and share > 0.1:
-            if up.tag in CONTAINERS:
-                up.points += points * share
-                share *= 0.5
+        while up is not None and (up := up.box) is not None and share > 0.1:
+            up.points += points * share
+            share *= 0.5
             up = up.up
     best = None
     for node in nodes:

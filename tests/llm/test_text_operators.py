@@ -162,6 +162,57 @@ def test_names_that_mark_surroundings():
     assert html_text.main_text(page).count("\n") == 3 and "Nice" not in html_text.main_text(page)
 
 
+SENTENCES = "".join(f"<p>Sentence {k}, which is long, and goes on, to count for something here.</p>" for k in range(4))
+
+
+def test_wrappers_are_not_left_out():
+    for page in (
+        f"<body><form id=aspnetForm><div><a href=/>Home</a></div><div id=main><h1>Title</h1>{SENTENCES}</div><label>q</label><input></form></body>",
+        f"<body><div class='search-page'><nav>x</nav><h1>Title</h1>{SENTENCES}</div></body>",
+        f"<body><article><header><h1>Title</h1></header>{SENTENCES}</article><footer>f</footer></body>",
+        f"<body><div class='comment-list'><article class=comment>{SENTENCES * 2}</article></div><article><h1>Title</h1>{SENTENCES}</article></body>",
+    ):
+        lines = html_text.main_text(page).split("\n")
+        assert lines[0] == "Title" and len(lines) == 5 and lines[4].startswith("Sentence 3"), page
+    assert html_text.main_text(f"<body><article><h1>T</h1><p>Short, one.</p></article><div class=comments>{SENTENCES * 2}</div></body>") == "T\nShort, one."
+
+
+def test_generated_pages_give_their_articles():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9)))
+    say = lambda n: " ".join(word() for _ in range(n)) + ", " + word() + "."
+    around = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=x>{say(2)}</a>' for _ in range(5))}</ul></nav>", lambda: f"<div class='ad'>{say(12)}</div>", lambda: f"<aside><p>{say(15)}</p></aside>",
+        lambda: f"<div class='cookie-banner'><p>{say(10)}</p></div>", lambda: f"<form><p>{say(5)}</p><input></form>", lambda: f"<script>var a='<p>{say(9)}</p>'</script>", lambda: f"<div id=comments><p>{say(30)}</p><p>{say(30)}</p></div>",
+    ]
+    for _ in range(150):
+        want, body = [], []
+        for _ in range(rng.randint(2, 9)):
+            text = say(rng.randint(8, 40))
+            kind = rng.choice(["p", "h2", "li", "q", "open"])
+            body.append({"p": f"<p>{text}</p>", "h2": f"<h2>{text}</h2>", "li": f"<ul><li>{text}</li></ul>", "q": f"<blockquote>{text}</blockquote>", "open": f"<p>{text.replace(' ', ' <b>', 1)}</b>"}[kind])
+            want.append(text)
+        body.append(f"<p>{(last := say(25))}</p><p>{(end := say(25))}</p>")
+        want += [last, end]
+        parts = [rng.choice(around)() for _ in range(rng.randint(0, 4))]
+        open_, close = rng.choice([("<article>", "</article>"), ("<div class=content>", "</div>"), ("<main>", "</main>"), ("<div id=main-content><div>", "</div></div>")])
+        parts.insert(rng.randint(0, len(parts)), open_ + "".join(body) + close)
+        assert html_text.main_text(f"<html><body>{''.join(parts)}<footer>{say(4)}</footer></body></html>").split("\n") == want
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    broken = ["<a ", "<h1>x", "<p><button><h1>x", "<li>", "<td>x", '<a b="', "<i>", "<span><p>x, y", "<div class='ad'>", "<!--", "</", "<ul><li>"]
+    for start in broken:
+        spent = []
+        for size in (40_000, 320_000):
+            began = time.process_time()
+            html_text.main_text(start * (size // len(start)) + "</b>" * 1000)
+            spent.append(time.process_time() - began)
+        assert spent[1] < 1 + 24 * spent[0], (start, spent)  # eight times the text
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 9), (1, None, None, 9), (None, "u", "", 9)], "page_id long, url string, html string, text int")
     got = html_text.extract(df).collect()

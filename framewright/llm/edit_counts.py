@@ -1,7 +1,9 @@
 """Token counts that follow edits: segment trees of pre-token segments per document.
 
-A text is cut into segments at single spaces between characters that are not white space; no
-pre-token of a byte-level vocabulary spans such a place, so segments are encoded on their own.  A
+A text is cut into segments where no pre-token of the pattern can span, whatever stands around: before
+white space, and between letters, digits and other marks (but not between an apostrophe and a
+letter).  So segments are encoded on their own, in any script; only a run of one kind that is itself
+one pre-token is never cut.  A
 document keeps a segment tree with the characters and tokens of every subtree.  An edit descends the
 tree to the segments it touches, widened by the two characters that a cut depends on; only their new
 text is encoded, into the same slots, and only the sums above those slots change.
@@ -9,12 +11,12 @@ text is encoded, into the same slots, and only the sums above those slots change
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from framewright.llm.bpe import default_pattern, default_ranks, read_ranks
 
 SEGMENT = 512
 CONTEXT = 2  # characters on either side of a cut on which its being safe depends
-CUT = re.compile(r"(?<=\S) (?=\S)")
+CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 def segments(text: str, target: int = SEGMENT) -> list[str]:
@@ -141,7 +143,10 @@ TREE = "doc_id long, text string, tree_chars array<long>, tree_tokens array<long
 
 
 def build_trees(docs: DataFrame, *, ranks: str | None = None, pattern: str | None = None, target: int = SEGMENT) -> DataFrame:
-    """(doc_id, text, tree_chars, tree_tokens) of every whole text; a null text is an empty one. No shuffle."""
+    """(doc_id, text, tree_chars, tree_tokens) of every whole text, of any length; a null text is an empty one. No shuffle.
+
+    Null ids, repeated rows and further columns are allowed; further columns are not carried.
+    """
     ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +162,7 @@ def update_trees(trees: DataFrame, *, ranks: str | None = None, pattern: str | N
     """Apply column ``edits``, array<struct<pos long, deleted long, inserted string>>, to trees from build_trees.
 
     Adds n_tokens, the count before them, and n_segments and n_chars, what was encoded for them.  Null edits are none.
+    Null ids and repeated rows are edited like any other; further columns are not carried.
     """
     ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
 

@@ -1,7 +1,9 @@
 import hashlib
 import io
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -72,6 +74,15 @@ def test_hot_ids_are_cut_within():
     assert shard[order].tolist() == sorted(shard[:198].tolist())
 
 
+def test_parts_of_long_texts_are_encoded_apart(spark, own, monkeypatch):
+    monkeypatch.setattr(bpe, "PART_CHUNKS", 3)
+    texts = [*noise(25, 600, seed=6), "word " * 900, "x" * 3000, " " * 2000 + "end", "日本語、" * 700, "a\n" * 1500]
+    got = {r["doc_id"]: r for r in bpe.op9_rows(messy(spark, texts).where("doc_id <> 4"), chunk=400).collect()}
+    for i, t in enumerate(texts):
+        ids = own.encode_ordinary(t)
+        assert (got[10 + i]["n_tokens"], got[10 + i]["ids_sha256"], got[10 + i]["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()), i
+
+
 def test_token_shards(tmp_path):
     rng = np.random.default_rng(1)
     docs = [(i * 3 - 5, rng.integers(0, 50257, n).astype(np.uint32)) for i, n in enumerate((5, 0, 70_000, 3, 100, 0, 1))]
@@ -125,10 +136,17 @@ def test_edits_leave_the_count_of_the_new_text():
 
 
 def test_edit_rows(spark):
-    got = {r["doc_id"]: r for r in edit_counts.op3_rows(messy(spark)).collect()}
+    texts = noise(80, 200, seed=9) + ["これは文です。" * 6000, "line\n" * 9000, "12ab" * 8000]
+    got = {r["doc_id"]: r for r in edit_counts.op3_rows(messy(spark, texts)).collect()}
     count = edit_counts.Counter(edit_counts.default_ranks(), edit_counts.default_pattern())
-    assert got[4]["n_tokens"] == count("long " * 60_000) and got[4]["n_chars"] < 4 * 2048  # of 300 000 characters
-    assert got[2]["n_tokens"] == 0 and got[2]["n_tokens_after"] > 0
+    for i, t in [(4, "long " * 60_000), (2, ""), *((10 + k, t) for k, t in enumerate(texts))]:
+        after, n = t, len(t)
+        for pos, deleted, inserted in ((n // 4, 12, "Rewritten words"), (n // 2, 0, " and a sentence, put in between. "), (3 * n // 4, 40, "")):
+            pos = min(pos, len(after))
+            after = after[:pos] + inserted + after[pos + deleted :]
+        assert (got[i]["n_tokens"], got[i]["n_tokens_after"], got[i]["n_chars_after"]) == (count(t), count(after), len(after)), i
+        # what is encoded for an edit doesn't grow with the text, in any script
+        assert got[i]["n_chars"] < 3 * 4096
     assert edit_counts.op3_rows(messy(spark).limit(0)).count() == 0
 
 
@@ -303,22 +321,66 @@ def test_classifiers_on_messy_tables(spark):
     assert toxicity.op2_rows(messy(spark).limit(0), some).count() == 0
 
 
+def plain_bm25(items, query):
+    """Shares of each item's own score by the formula, without an index."""
+    bags = [decontaminate.words_of(t) for _, t in items]
+    mean = sum(map(len, bags)) / len(bags)
+    idf = {w: math.log(1 + (len(bags) - d + 0.5) / (d + 0.5)) for w in {w for b in bags for w in b} for d in [sum(w in b for b in bags)]}
+    part = lambda w, b: idf[w] * b.count(w) * 2.2 / (b.count(w) + 1.2 * (0.25 + 0.75 * len(b) / mean))
+    return {i: sum(part(w, b) for w in set(b) & query) / sum(part(w, b) for w in set(b)) for (i, _), b in zip(items, bags) if b}
+
+
+def index_of(items):
+    bags = [(i, t, Counter(decontaminate.words_of(t))) for i, t in items]
+    df = Counter(w for _, _, b in bags for w in b)
+    bags = [x for x in bags if x[2]]
+    whole = decontaminate.Statistics(len(bags), sum(sum(b.values()) for _, _, b in bags) / len(bags))
+    return decontaminate.Bm25Index([(i, t, list(b), list(b.values()), [df[w] for w in b]) for i, t, b in bags], whole)
+
+
 def test_wand_retrieves_all_above_the_threshold():
     rng = random.Random(7)
     vocab = [f"t{k}" for k in range(80)]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(3, 20)))) for i in range(90)]
-    ix = decontaminate.Bm25Index(items)
-    for _ in range(300):
-        query = {rng.choice(vocab) for _ in range(rng.randint(1, 50))}
-        ids = np.array(sorted(ix.ids[w.encode()] for w in query if w.encode() in ix.ids))
-        scores = np.zeros(len(ix.items))
-        for blk in range(len(ix.rows)):
-            for i, row in zip(ix.rows[blk], ix.impacts[blk]):
-                if i in ids:
-                    n = min(decontaminate.BLOCK, len(scores) - blk * decontaminate.BLOCK)
-                    scores[blk * decontaminate.BLOCK :][:n] += row[:n]
-        want = {(k, round(float(s), 9)) for k, s in enumerate(scores) if s >= 0.5 - 1e-9}
-        assert {(k, round(s, 9)) for k, s in ix.search(ids, 0.5)} == want
+    ix = index_of(items)
+    for _ in range(200):
+        query = {rng.choice(vocab).encode() for _ in range(rng.randint(1, 50))}
+        ids = [ix.ids[w] for w in query if w in ix.ids]
+        scores = plain_bm25(items, query)
+        want = {(i, round(s, 9)) for i, s in scores.items() if s >= 0.5}
+        got = ix.search(list(ix.lists(np.array(ids, np.int64)).values()), 0.5)
+        assert {(ix.items[k].item_id, round(s, 9)) for k, s in got} == want
+        assert {k // decontaminate.BLOCK for k, _ in got} <= set(ix.live(np.array(ids, np.int64), 0.5).tolist())
+
+
+def test_scores_do_not_depend_on_the_number_of_indexes(spark):
+    rng = random.Random(4)
+    vocab = [f"t{k}" for k in range(60)] + ["日", "本", "語"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(6, 70)))) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as shard", "'x' as terms")
+    texts = {}
+    for i in range(40):
+        w = items[i][1].split()
+        for _ in range(rng.randint(0, 8)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        texts[100 + i] = " ".join(rng.choice(vocab) for _ in range(300)) + " " + " ".join(w) + " end"
+    docs = spark.createDataFrame([*texts.items(), (None, items[0][1]), (7, None), (7, ""), (8, items[1][1]), (8, items[1][1])], "doc_id long, text string").selectExpr("*", "2 as item_id", "'s' as score")
+    limits = decontaminate.Limits(0.8, 0.3, 0.3)
+    one, many = (sorted(map(tuple, decontaminate.find_leaks(docs, bench, limits, most=m).collect()), key=repr) for m in (50_000, 10))
+    assert one == many and len(one) > 30 and sum(r[0] == 8 and r[1] == 1 for r in one) == 2
+    # each row's score is the plain one of its passage
+    sizes = {i: len(t.split()) for i, t in items}
+    for doc_id, item_id, score, *_, first in one:
+        if doc_id in texts:
+            words = decontaminate.words_of(texts[doc_id])
+            assert plain_bm25(items, set(words[first : first + 64 * -(-sizes[item_id] // 16)]))[item_id] == pytest.approx(score)
+
+
+def test_leaks_in_scripts_without_spaces(spark):
+    item = "これは試験の問題文でありその答えは四十二である"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "前の文に続いて" + item + "という長い一文になる"), (2, "まったく別の文がここにある")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.find_leaks(docs, bench).collect()] == [1]
 
 
 def test_leaks_found_and_clean_texts_left(spark):
@@ -333,4 +395,4 @@ def test_leaks_found_and_clean_texts_left(spark):
     clean = decontaminate.without_leaks(messy(spark), bench)
     assert clean.count() == 6 and clean.columns == messy(spark).columns
     assert decontaminate.find_leaks(messy(spark), bench.limit(0)).count() == 0
-    assert len(decontaminate.index_blocks(bench, most=10)) > 1
+    assert sum(map(len, decontaminate.index_shards(bench, most=10))) > 1 and decontaminate.index_shards(bench.limit(0)) == []

@@ -73,30 +73,74 @@ def canonical_turns(records: DataFrame) -> DataFrame:
         found = MAPPINGS[fingerprint(known[0])]
     _, turns = found
     out = records.select("conv_id", "turn", "role", "text") if turns is None else records.select("conv_id", F.inline(F.expr(turns)))
+    return _tidy(out, turns is not None)
+
+
+def _tidy(turns: DataFrame, rename: bool) -> DataFrame:
+    """(conv_id, turn, role, text) without nulls in role and text; ``rename`` gives roles of other conventions their names here."""
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     names = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-    return out.select("conv_id", F.col("turn").cast("long").alias("turn"), (role if turns is None else F.coalesce(F.try_element_at(names, role), role)).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    named = F.coalesce(F.try_element_at(names, role), role) if rename else role
+    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), named.alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def canonical_json(records: DataFrame, json: str = "record") -> DataFrame:
-    """(conv_id, turn, role, text) of JSON text records whose layouts differ from row to row.
+def json_paths(doc: Column) -> Column:
+    """Sorted paths of the text-like leaves of a VARIANT object, as field_paths names them, without conv_id.
 
-    Each row's own schema gives its fingerprint, so one pass sends every row to its mapping; rows
-    that are no object of a known layout have no turns.
+    Leaves are those at the top and those of objects in arrays at the top; what lies deeper is part of
+    no layout and is not told.
     """
-    doc = F.try_parse_json(F.col(json))
-    # the schema of one record, reduced to its sorted field paths, decides its layout
     kind = F.schema_of_variant(doc)
-    out = None
-    for paths, turns in LAYOUTS.values():
-        if turns is None:
-            continue
-        ddl = _ddl(paths)
-        signature = _signature(paths)
-        part = records.select("conv_id", kind.alias("kind"), F.from_json(F.col(json), ddl).alias("r")).where(F.expr(signature)).select("conv_id", "r.*")
-        part = canonical_turns(part)
-        out = part if out is None else out.unionAll(part)
-    return out
+    # names at one depth are found after everything deeper is taken out of the schema's text
+    flat = F.regexp_extract(kind, "^OBJECT<(.*)>$", 1)
+    inner = lambda t: F.regexp_extract(t, "^ARRAY<OBJECT<(.*)>>$", 1)
+    names = lambda t: F.regexp_extract_all(_shallow(t), F.lit(r"(?:^|, )([^:<>,]+): (?:STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL)"), 1)
+    tops = names(flat)
+    arrays = F.regexp_extract_all(_shallow(flat), F.lit(r"(?:^|, )([^:<>,]+): ARRAY"), 1)
+    fields = F.try_variant_get(doc, "$", "map<string, variant>")
+    below = F.flatten(F.transform(arrays, lambda k: F.transform(names(inner(F.schema_of_variant(F.element_at(fields, k)))), lambda n: F.concat(k, F.lit("[]."), n))))
+    return F.array_sort(F.array_except(F.array_distinct(F.concat(tops, below)), F.array(F.lit("conv_id"))))
+
+
+def _shallow(schema: Column, depth: int = 8) -> Column:
+    """A schema's text without what stands inside angle brackets."""
+    for _ in range(depth):
+        schema = F.regexp_replace(schema, "<[^<>]*>", "")
+    return schema
+
+
+def json_layouts(records: DataFrame, json: str = "record") -> DataFrame:
+    """(conv_id, fingerprint, layout, reason, turns) of JSON text records whose layouts differ from row to row, in one pass.
+
+    The hash of a record's own nested field paths selects its mapping; of a record with further fields
+    the largest layout whose paths are all there is taken, the first by name among equals.  ``reason``
+    is null, or why a record has no turns: "no JSON", "no object" or "no mapping".  Null records are no
+    JSON; texts of any length are read whole; repeated rows are told each.
+    """
+    doc = F.try_parse_json(F.col(json))
+    rows = records.select("conv_id", F.col(json).alias("json"), doc.alias("doc")).withColumn("paths", F.when(F.schema_of_variant("doc").startswith("OBJECT<"), json_paths(F.col("doc"))))
+    rows = rows.withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
+    known = sorted(((name, sorted(paths), turns) for name, (paths, turns) in LAYOUTS.items() if turns is not None), key=lambda x: (-len(x[1]), x[0]))
+    layout = F.lit(None).cast("string")
+    for name, paths, _ in reversed(known):
+        layout = F.when(F.size(F.array_except(F.array(*map(F.lit, paths)), "paths")) == 0, name).otherwise(layout)
+    for name, paths, _ in known:
+        layout = F.when(F.col("fingerprint") == fingerprint(paths), name).otherwise(layout)
+    rows = rows.withColumn("layout", layout)
+    reason = F.when(F.col("doc").isNull(), "no JSON").when(F.col("paths").isNull(), "no object").when(F.col("layout").isNull(), "no mapping")
+    # the fields of all layouts are read at once; a record's own layout says which of them count
+    fields = F.from_json("json", _ddl(sorted({p for _, paths, _ in known for p in paths})))
+    read = rows.select("conv_id", "fingerprint", "layout", reason.alias("reason"), fields.alias("r")).select("conv_id", "fingerprint", "layout", "reason", "r.*")
+    turns = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
+    for name, _, how in known:
+        turns = F.when(F.col("layout") == name, F.expr(how)).otherwise(turns)
+    return read.select("conv_id", "fingerprint", "layout", "reason", turns.alias("turns"))
+
+
+def canonical_json(records: DataFrame, json: str = "record") -> DataFrame:
+    """(conv_id, turn, role, text) of the records that json_layouts finds a mapping for; the others are told there, with a reason."""
+    out = json_layouts(records, json).where("reason is null").select("conv_id", F.inline("turns"))
+    return _tidy(out, True)
 
 
 def _ddl(paths: list[str]) -> str:
@@ -107,14 +151,6 @@ def _ddl(paths: list[str]) -> str:
     return ", ".join(f"`{t}` string" if leaves == [""] else f"`{t}` array<struct<{', '.join(f'`{x}`: string' for x in leaves)}>>" for t, leaves in tops.items())
 
 
-def _signature(paths: list[str]) -> str:
-    """SQL: the record's variant schema names exactly these fields, with the hash of their sorted names."""
-    names = sorted({x for p in paths for x in p.replace("[]", "").split(".")})
-    want = hashlib.sha256(",".join(names).encode()).hexdigest()
-    # names of fields in the schema text are what stands before a colon; conv_id is not a part of the layout
-    return f"sha2(array_join(array_sort(array_except(array_distinct(regexp_extract_all(kind, '(?:<|, )([^:<>,]+): ', 1)), array('conv_id'))), ','), 256) = '{want}'"
-
-
 def escape(text: Column) -> Column:
     """Put one more backslash between ``<`` and ``|``, whatever number is there: no control string is left."""
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
@@ -132,6 +168,8 @@ def format_turns(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     escaped; a newline in a role is written as a control string.  ``loss_spans`` holds
     (turn_no, start, from_turn, length) of each text to learn, in code points: ``start`` in the
     whole, ``from_turn`` from the turn's START.  Start positions are running sums over the turns.
+    A conversation is one string, so one task makes it, of any length a string can have; further
+    columns are not carried.  An empty table gives no rows.
     """
     role = F.regexp_replace(escape(F.col("role")), "\n", "<|nl|>")
     parts = turns.select("conv_id", "turn", "role", "text", F.concat(F.lit(START), role, F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"))

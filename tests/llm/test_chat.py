@@ -54,6 +54,31 @@ def test_json_rows_of_mixed_layouts(spark):
     assert [(r["conv_id"], r["role"], r["text"]) for r in got if r["conv_id"] < 6] == [(1, "user", "q"), (1, "assistant", "a"), (2, "user", "q"), (2, "assistant", "a"), (3, "user", "q\nmore"), (3, "assistant", "a")]
 
 
+def test_json_rows_with_further_fields_and_without_a_mapping(spark):
+    data = [
+        (1, '{"prompt":"q","response":"a","id":7}'), (2, '{"messages":[{"role":"human","content":"q","name":"x"},{"role":"gpt","content":"a"}],"meta":{"prompt":"no"}}'), (3, '{"system":"s","instruction":"q","output":"a"}'),
+        (4, '{"prompt":["q1"],"response":"a"}'), (5, '{"nested":{"prompt":"q","response":"a"}}'), (6, "[1]"), (7, "{"), (8, None), (9, '{"messages":["q"]}'), (10, '{"conv_id":3,"question":"q","answer":5}'), (10, '{"conv_id":3,"question":"q","answer":5}'),
+    ]
+    records = spark.createDataFrame(data, "conv_id long, record string")
+    told = {r["conv_id"]: r for r in chat.json_layouts(records).collect()}
+    assert {i: r["reason"] for i, r in told.items() if r["reason"]} == {4: "no mapping", 5: "no mapping", 6: "no object", 7: "no JSON", 8: "no JSON", 9: "no mapping"}
+    assert {i: r["layout"] for i, r in told.items() if r["layout"]} == {1: "prompt and response", 2: "messages", 3: "instruction", 10: "question and answer"}
+    assert told[10]["fingerprint"] == chat.fingerprint(["question", "answer"]) and told[5]["fingerprint"] != told[1]["fingerprint"]
+    got = sorted(tuple(r) for r in chat.canonical_json(records).collect())
+    want = [(i, k, role, text) for i in (1, 2, 3) for k, (role, text) in enumerate((("user", "q"), ("assistant", "a")))]
+    assert got == sorted(want + 2 * [(10, 0, "user", "q"), (10, 1, "assistant", "5")])
+    assert chat.canonical_json(records.limit(0)).count() == 0
+    plan = chat.canonical_json(records)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and plan.count("LocalTableScan") + plan.count("LogicalRDD") <= 8
+
+
+def test_very_long_turns_and_clashing_columns(spark):
+    long = "a<|b " * 200_000
+    turns = rows(spark, [(1, 0, "user", long), (1, 1, "assistant", long)]).selectExpr("*", "'x' as formatted", "1 as loss_spans", "'y' as no", "2 as at")
+    out = chat.parse_formatted(chat.format_turns(chat.canonical_turns(turns))).first()
+    assert [t["text"] for t in out["turns"]] == [long, long] and out["learnt"] == [long] and out["n_turns"] == 2
+
+
 def test_empty_table_and_no_python_in_the_plan(spark):
     empty = rows(spark, [])
     assert chat.digests(chat.parse_formatted(chat.format_turns(chat.canonical_turns(empty)))).count() == 0

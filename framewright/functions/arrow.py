@@ -66,7 +66,7 @@ def walk_step(seed: pd.Series, step: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.LongType())
 def binary32(num: pd.Series, den: pd.Series) -> pd.Series:
-    return pd.Series([exact.binary32(int(a), int(b)) for a, b in zip(num, den, strict=True)])
+    return pd.Series(exact.vector_binary32(num, den))
 
 
 def ratio_op(op: str):

@@ -46,22 +46,6 @@ def integer(num: Column) -> Column:
     return F.struct(lit(1).alias("den"), num.cast("long").alias("num"))
 
 
-def r_add(a: Column, b: Column) -> Column:
-    return ratio(a["num"] * b["den"] + b["num"] * a["den"], a["den"] * b["den"])
-
-
-def r_sub(a: Column, b: Column) -> Column:
-    return ratio(a["num"] * b["den"] - b["num"] * a["den"], a["den"] * b["den"])
-
-
-def r_mul(a: Column, b: Column) -> Column:
-    return ratio(a["num"] * b["num"], a["den"] * b["den"])
-
-
-def r_div(a: Column, b: Column) -> Column:
-    return ratio(a["num"] * b["den"], a["den"] * b["num"])
-
-
 def r_neg(a: Column) -> Column:
     return F.struct(a["den"].alias("den"), (-a["num"]).alias("num"))
 

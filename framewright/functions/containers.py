@@ -137,7 +137,8 @@ class Box:
     padded: int
 
 
-ISO_PARENTS = frozenset(("moov", "trak", "mdia", "minf", "stbl", "dinf", "udta"))
+#: Boxes whose payload is a sequence of boxes and nothing else.
+ISO_PARENTS = frozenset("moov trak mdia minf dinf edts stbl".split())
 
 
 class FaultError(ValueError):
@@ -201,36 +202,87 @@ def find(data: bytes, *path: str) -> tuple[Box, list[int]]:
     return got, [b.start + 4 if avi else b.start for b in above]
 
 
-def region_start(data: bytes, path: tuple[str, ...], frame: int | None = None) -> tuple[int, int]:
-    """(start, end) of what an address owns: up to where the next region in file order starts.
+#: A step of an address: a tag with its number among siblings of that tag, or a frame's number.
+Step = tuple[str, int] | int
 
-    With ``frame`` the address is that frame's sample inside mdat or chunk inside movi.
+
+@dataclass(frozen=True)
+class Region:
+    """What an address owns: from its start to that of the next region in document order."""
+
+    address: tuple[Step, ...]
+    start: int
+    end: int
+
+
+def layout(data: bytes) -> list[Region]:
+    """Regions in document order; each byte of the file is in exactly one.
+
+    Frames stand below the mdat that holds the first of them, or below movi in place of their
+    chunks; a frame's region starts at its data, so the header of its chunk belongs to the one before.
     """
-    boxes = read_boxes(data)
-    cuts = [b.start for b in boxes]
-    frames = frame_ranges(data)
-    cuts += [a for a, _ in frames]
-    at = frames[frame][0] if frame is not None else next((b.start for b in boxes if b.path == path), None)
-    if at is None:
-        raise FaultError(f"no box at {'/'.join(path)}")
-    later = [c for c in cuts if c > at]
-    return at, min(later, default=len(data))
+    avi = detect(data) == "avi"
+    known: dict[tuple[str, ...], list[tuple[Box, tuple[Step, ...]]]] = {}
+    places: list[tuple[tuple[Step, ...], int]] = []
+    frames = 0
+    for b in read_boxes(data):
+        # the box above is the last one listed at its path
+        above = known[b.path[:-1]][-1][1] if len(b.path) > 1 else ()
+        own = avi and b.path[:2] == ("RIFF", "movi") and len(b.path) == 3 and b.path[2] in ("00dc", "00db")
+        address = (*above, frames if own else (b.path[-1], b.occurrence))
+        frames += own
+        known.setdefault(b.path, []).append((b, address))
+        places.append((address, b.payload if own else b.start))
+    if not avi and (ranges := frame_ranges(data)):
+        at, last = ranges[0][0], len(data)
+        ends = [p for _, p in places[1:]] + [len(data)]
+        where = next((i for i, ((address, start), end) in enumerate(zip(places, ends, strict=True)) if len(address) == 1 and address[0][0] == "mdat" and start < at < end), None)
+        if where is None:
+            raise FaultError("no mdat holds the first frame")
+        last = ends[where]
+        for start, end in ranges:
+            if start < at or end > last:
+                raise FaultError("frames overlap or leave their mdat")
+            at = end
+        places[where + 1 : where + 1] = [((*places[where][0], k), start) for k, (start, _) in enumerate(ranges)]
+    ends = [p for _, p in places[1:]] + [len(data)]
+    return [Region(address, start, end) for (address, start), end in zip(places, ends, strict=True)]
+
+
+def steps(address: tuple) -> tuple[Step, ...]:
+    """Tags without a number mean the first sibling."""
+    return tuple((x, 0) if isinstance(x, str) else x for x in address)
+
+
+def span(data: bytes, address: tuple) -> tuple[int, int]:
+    """(start, end) of what an address owns."""
+    want = steps(address)
+    got = next((r for r in layout(data) if r.address == want), None)
+    if got is None:
+        raise FaultError(f"nothing at {address}")
+    return got.start, got.end
 
 
 def frame_ranges(data: bytes) -> list[tuple[int, int]]:
-    """(start, end) of each frame: samples by stsz and stco, or chunks of movi."""
+    """(start, end) of each frame: samples by stsz and stco of the sample table, or chunks of movi."""
     boxes = read_boxes(data)
     if detect(data) == "avi":
-        return [(b.start, b.end) for b in boxes if b.path[:2] == ("RIFF", "movi") and len(b.path) == 3]
-    by = {b.path[-1]: b for b in boxes}
-    if "stsz" not in by or "stco" not in by:
+        return [(b.payload, b.end) for b in boxes if b.path[:2] == ("RIFF", "movi") and len(b.path) == 3 and b.path[2] in ("00dc", "00db")]
+    tables = [next((b for b in boxes if b.path == (*STBL, tag)), None) for tag in ("stsz", "stco")]
+    if None in tables:
         return []
 
-    def numbers(b: Box, at: int) -> list[int]:
-        n = int.from_bytes(data[b.payload + at - 4 : b.payload + at], "big")
-        return [int.from_bytes(data[b.payload + at + 4 * i : b.payload + at + 4 * i + 4], "big") for i in range(n)]
+    def number(b: Box, at: int) -> int:
+        if b.payload + at + 4 > len(data):
+            raise FaultError("a table is cut short")
+        return int.from_bytes(data[b.payload + at : b.payload + at + 4], "big")
 
-    return [(o, o + s) for o, s in zip(numbers(by["stco"], 8), numbers(by["stsz"], 12), strict=True)]
+    sizes, offsets = tables
+    constant, n = number(sizes, 4), number(sizes, 8)
+    if n != number(offsets, 4):
+        raise FaultError("sample and chunk counts differ")
+    starts = [number(offsets, 8 + 4 * k) for k in range(n)]
+    return [(at, at + (constant or number(sizes, 12 + 4 * k))) for k, at in enumerate(starts)]
 
 
 def put(data: bytes, at: int, value: int, order: str) -> bytes:
@@ -256,12 +308,13 @@ def inject(data: bytes, fault: str, **how) -> bytes:
     order = "big" if iso else "little"
     path = tuple(how.get("path", ()))
     if fault == "trunc-before":
-        return data[: region_start(data, path or (("moov",) if iso else ("RIFF", "movi")), how.get("frame"))[0]]
+        return data[: span(data, how.get("address", ("moov",) if iso else ("RIFF", "movi")))[0]]
     if fault == "trunc-within":
-        start, end = region_start(data, path, how.get("frame", None if path else 0))
-        if how.get("offset", TRUNCATION) >= end - start:
+        start, end = span(data, how.get("address", ("mdat", 0) if iso else ("RIFF", "movi", 0)))
+        offset = how.get("offset", TRUNCATION)
+        if not 0 < offset < end - start:
             raise FaultError("offset outside the region")
-        return data[: start + how.get("offset", TRUNCATION)]
+        return data[: start + offset]
     if fault == "zero-pay":
         return put(data, find(data, *(path or ("mdat",)))[0].start, 8, order)
     if fault in ("over-len", "under-len"):

@@ -196,6 +196,25 @@ def binary32(num: int, den: int) -> int:
     return (e + 127) << 23 | q & 0x7FFFFF
 
 
+def vector_binary32(num, den) -> np.ndarray:
+    """binary32 of arrays: both parts are shifted to 32 bits, one long division leaves 31 or 32 bits of quotient."""
+    num, den = (np.asarray(x, np.int64) for x in (num, den))
+    if ((num < 0) | (num >= 2**32) | (den < 1) | (den >= 2**32)).any():
+        raise Overflow("parts of 32 bits")
+    up_n, up_d = (32 - np.frexp(x.astype(np.float64))[1].astype(np.int64) for x in (num, den))
+    n, d = (num << up_n).astype(np.uint64), (den << up_d).astype(np.uint64)
+    q, r = np.divmod(n << np.uint64(31), d)
+    whole = n >= d
+    drop = np.where(whole, 8, 7).astype(np.uint64)
+    half = np.uint64(1) << (drop - np.uint64(1))
+    low, mantissa = q & ((np.uint64(1) << drop) - np.uint64(1)), q >> drop
+    mantissa += (low > half) | (low == half) & ((r > 0) | (mantissa & np.uint64(1) == 1))
+    e = up_d - up_n - ~whole + 127
+    carry = mantissa == 1 << 24
+    e, mantissa = e + carry, np.where(carry, mantissa >> np.uint64(1), mantissa).astype(np.int64)
+    return np.where(num == 0, 0, e << 23 | mantissa & 0x7FFFFF)
+
+
 def vector_ratio(op: str, an, ad, bn, bd) -> tuple[np.ndarray, np.ndarray]:
     """(num, den) int64 arrays of a op b for rational arrays; Overflow if any reduced part does not fit.
 

@@ -1,7 +1,6 @@
 """Baseline JPEG with integer arithmetic throughout, so that equal pixels give equal bytes.
 
-Blocks of a whole frame are transformed, quantised and reordered together as int64 arrays; only
-the entropy coder walks them one by one.
+Blocks of a whole frame are transformed, quantised, reordered and coded together as int64 arrays.
 """
 
 from __future__ import annotations
@@ -128,65 +127,73 @@ def codes(lengths: tuple[int, ...], symbols: tuple[int, ...]) -> dict[int, tuple
     return out
 
 
-class BitWriter:
-    def __init__(self) -> None:
-        self.acc = self.n = 0
-        self.out = bytearray()
-
-    def put(self, value: int, bits: int) -> None:
-        self.acc = self.acc << bits | value
-        self.n += bits
-        while self.n >= 8:
-            self.n -= 8
-            byte = self.acc >> self.n & 0xFF
-            self.out.append(byte)
-            if byte == 0xFF:
-                self.out.append(0)
-        self.acc &= (1 << self.n) - 1
-
-    def done(self) -> bytes:
-        if self.n:
-            self.put((1 << 8 - self.n) - 1, 8 - self.n)
-        return bytes(self.out)
-
-
-def magnitude(value: int) -> tuple[int, int]:
-    """(size category, bits) of a signed value; negative values as ones' complement."""
-    size = abs(value).bit_length()
-    return size, value if value >= 0 else value + (1 << size) - 1
-
-
-class Predictor:
-    """The running DC value of one component, moved on by what was written."""
-
-    def __init__(self) -> None:
-        self.value = 0
-
-    def delta(self, dc: int) -> int:
-        d = max(-2047, min(2047, max(-32768, min(32767, dc)) - self.value))
-        self.value += d
-        return d
-
-
-def write_block(w: BitWriter, zz: list[int], last: Predictor, chroma: bool) -> None:
-    dc, ac = codes(DC_LENGTHS[chroma], DC_SYMBOLS), codes(AC_LENGTHS[chroma], AC_SYMBOLS[chroma])
-    size, bits = magnitude(last.delta(zz[0]))
-    w.put(*dc[size])
-    w.put(bits, size)
-    run = 0
-    for value in zz[1:]:
-        if not value:
-            run += 1
-            continue
-        while run > 15:
-            w.put(*ac[0xF0])
-            run -= 16
-        size, bits = magnitude(max(-1023, min(1023, value)))
-        w.put(*ac[run << 4 | size])
-        w.put(bits, size)
-        run = 0
-    if run:
-        w.put(*ac[0])
+def magnitudes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(size categories, bits) of signed values; negative values as ones' complement."""
+    size = np.frexp(np.abs(values).astype(np.float64))[1].astype(np.int64)
+    return size, np.where(values >= 0, values, values + (1 << size) - 1)
+
+
+def deltas(levels: np.ndarray) -> np.ndarray:
+    """Differences of one component's mean levels in scan order, the predictor moved on by what was written."""
+    levels = np.clip(levels, -32768, 32767)
+    out = np.diff(levels, prepend=0)
+    if (np.abs(out) > 2047).any():
+        at = 0
+        for i, v in enumerate(levels.tolist()):
+            out[i] = max(-2047, min(2047, v - at))
+            at += int(out[i])
+    return out
+
+
+@cache
+def code_tables(chroma: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and lengths by symbol: of differences, and of runs and sizes."""
+    out = []
+    for table in (codes(DC_LENGTHS[chroma], DC_SYMBOLS), codes(AC_LENGTHS[chroma], AC_SYMBOLS[chroma])):
+        both = np.zeros((2, 256), np.int64)
+        for symbol, (code, n) in table.items():
+            both[:, symbol] = code, n
+        out += [both[0], both[1]]
+    return tuple(out)
+
+
+def scan(zz: np.ndarray, component: np.ndarray) -> bytes:
+    """Entropy-coded bytes of (blocks, 64) zigzag levels in scan order; component 0 is luma, others chroma.
+
+    Every symbol with its bits is one number of known length; the numbers' bits are laid out at
+    once, filled up with ones to whole bytes, and a zero byte is put after each byte of ones.
+    """
+    zz = zz.astype(np.int64)
+    n = len(zz)
+    chroma = component > 0
+    dc = np.zeros(n, np.int64)
+    for c in np.unique(component):
+        dc[component == c] = deltas(zz[component == c, 0])
+    tables = [code_tables(False), code_tables(True)]
+    pick = lambda k, is_chroma, symbol: np.where(is_chroma, tables[1][k][symbol], tables[0][k][symbol])
+    size, bits = magnitudes(dc)
+    block, k = np.nonzero(zz[:, 1:])
+    k += 1
+    new = np.r_[True, block[1:] != block[:-1]] if len(block) else np.zeros(0, bool)
+    run = k - 1 - np.where(new, 0, np.r_[0, k[:-1]])
+    a_size, a_bits = magnitudes(np.clip(zz[block, k], -1023, 1023))
+    symbol = (run % 16) << 4 | a_size
+    long = np.repeat(np.arange(len(block)), run // 16)
+    last = np.zeros(n, np.int64)
+    np.maximum.at(last, block, k)
+    ends = np.flatnonzero(last < 63)
+    place = [np.arange(n) * 256, block[long] * 256 + 2 * k[long] - 1, block * 256 + 2 * k, ends * 256 + 255]
+    value = [pick(0, chroma, size) << size | bits, pick(2, chroma[block[long]], 0xF0), pick(2, chroma[block], symbol) << a_size | a_bits, pick(2, chroma[ends], 0)]
+    length = [pick(1, chroma, size) + size, pick(3, chroma[block[long]], 0xF0), pick(3, chroma[block], symbol) + a_size, pick(3, chroma[ends], 0)]
+    order = np.argsort(np.concatenate(place), kind="stable")
+    value, length = np.concatenate(value)[order], np.concatenate(length)[order]
+    stop = np.cumsum(length)
+    total = int(stop[-1]) if n else 0
+    shift = np.repeat(stop, length) - 1 - np.arange(total)
+    laid = np.ones(-(-total // 8) * 8, np.uint8)
+    laid[:total] = np.repeat(value, length) >> shift & 1
+    data = np.packbits(laid)
+    return np.insert(data, np.flatnonzero(data == 0xFF) + 1, 0).tobytes()
 
 
 def segment(marker: int, body: bytes) -> bytes:
@@ -208,14 +215,10 @@ def encode(rgb: np.ndarray, quality: int = 75, subsampled: bool = True) -> bytes
     unit = 16 if subsampled else 8
     rows, cols = -(-h // unit), -(-w // unit)
     k = unit // 8
-    luma = coefficients(blocks(planes[..., 0], rows * k, cols * k, 0), tables[0]).tolist()
-    chroma = [coefficients(blocks(halve(planes[..., c]) if subsampled else planes[..., c], rows, cols, 128), tables[1]).tolist() for c in (1, 2)]
-    out, last = BitWriter(), [Predictor() for _ in range(3)]
-    for y in range(rows):
-        for x in range(cols):
-            for dy in range(k):
-                for dx in range(k):
-                    write_block(out, luma[y * k + dy][x * k + dx], last[0], False)
-            for c in (0, 1):
-                write_block(out, chroma[c][y][x], last[c + 1], True)
-    return b"".join(head) + out.done() + b"\xff\xd9"
+    luma = coefficients(blocks(planes[..., 0], rows * k, cols * k, 0), tables[0])
+    chroma = [coefficients(blocks(halve(planes[..., c]) if subsampled else planes[..., c], rows, cols, 128), tables[1]) for c in (1, 2)]
+    # units of k by k luma blocks, then one block of each chroma plane
+    units = luma.reshape(rows, k, cols, k, 64).swapaxes(1, 2).reshape(rows * cols, k * k, 64)
+    units = np.concatenate([units, *(c.reshape(rows * cols, 1, 64) for c in chroma)], axis=1)
+    component = np.tile(np.r_[np.zeros(k * k, np.int64), 1, 2], rows * cols)
+    return b"".join(head) + scan(units.reshape(-1, 64), component) + b"\xff\xd9"

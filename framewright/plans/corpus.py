@@ -7,7 +7,9 @@ ranges, and only names, digests and lengths leave the tasks unless bytes are ask
 
 from __future__ import annotations
 
+import contextlib
 import json
+import re
 from collections.abc import Iterator
 from fractions import Fraction as F
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as SF
 
 from framewright.functions import containers, jpeg
 from framewright.functions import scene as sc
+from framewright.operators.validate import check_entry
 from framewright.plans import catalogue as ct
 
 RANGE = 500  # frames in a row of work
@@ -40,6 +43,7 @@ def parse_name(name: str) -> dict:
         raise ValueError(f"no entry is called {name}") from err
     if ct.entry_name(e) != name or e["defect"] not in (*ct.AXES["defect"], "no-dim") or any(e[k] not in ct.AXES[k] for k in fields):
         raise ValueError(f"no entry is called {name}")
+    check_entry(e, ct.RATES[e["rate"]])
     return e
 
 
@@ -51,6 +55,14 @@ def _point(p) -> dict:
     return {"x": _ratio(p[0]), "y": _ratio(p[1])}
 
 
+def canonical_object(pairs: list[tuple[str, object]]) -> str:
+    """An object of keys in the order written: of one key that stands twice the last value counts."""
+    for key, _ in pairs:
+        if not re.fullmatch(r"[a-z_]+", key):
+            raise ValueError(f"{key!r} is no key")
+    return canonical(dict(pairs))
+
+
 def canonical(value) -> str:
     """JSON without white space, keys sorted by bytes; numbers are integers or pairs of them."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -100,7 +112,9 @@ class FrameCoder:
         self.known: dict = {}
 
     def frame(self, n: int) -> bytes:
-        key = tuple((s["index"], s["centre_screen"]) for s in sc.object_states(self.scene, n, self.walks))
+        # the camera turns and zooms shapes about centres that may stay where they are
+        m, z = sc.camera_at(self.scene["camera"], n, self.walks)
+        key = (m.xx, m.xy, z, *((s["index"], s["centre_screen"]) for s in sc.object_states(self.scene, n, self.walks)))
         got = self.known.get(key)
         if got is None:
             px = sc.paint(self.back.copy(), self.scene, n, self.walks)
@@ -235,6 +249,9 @@ def publish(entries: DataFrame, out_dir: str, dry_run: bool = False) -> DataFram
                         place.move(f"{base}/{name}.tmp", f"{base}/{name}")
                     except OSError as err:
                         error = str(err)
+                        # nothing half written stays behind
+                        with contextlib.suppress(OSError):
+                            place.delete_file(f"{base}/{name}.tmp")
                 errors.append(error)
             lengths = [None if x is None else len(x) for x in b["content"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["name"], pa.array(lengths, pa.int64()), pa.array(errors, pa.string())], ["name", "length", "error"])

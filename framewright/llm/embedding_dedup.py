@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import Forest, connected_components, stored
+from framewright.llm.common import connected_components, stored
 
 TILE = 1024
+UNIT = 8 * TILE  # rows of one side of a task: each is sent once for every unit in reach
 BLOCK = 8
 SLACK = 1e-6  # of the rotated products, far above their rounding
 
@@ -63,10 +64,27 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
+def lowest_linked(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Labels, each the lowest row reached so far, after the links p-q: whole arrays at a time, until nothing changes."""
+    label = label.copy()
+    while True:
+        a, b = label[p], label[q]
+        open_ = a != b
+        if not open_.any():
+            return label
+        p, q, a, b = p[open_], q[open_], a[open_], b[open_]
+        low = np.minimum(a, b)
+        # the labels themselves are joined, then every row takes its label's label
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while not np.array_equal(further := label[label], label):
+            label = further
+
+
 def _compare(threshold: float, axes: dict[int, np.ndarray]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """One pair of tiles: (vec, links, up); ``up`` is a linked vector nearer to the forest's root, or null."""
-        pdf = pdf.sort_values(["side", "vec"], kind="stable")
+        pdf = pdf.sort_values("vec", kind="stable")
         x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         unit = x / np.sqrt((x * x).sum(1))[:, None]
         turned = unit @ axes[x.shape[1]]
@@ -75,7 +93,7 @@ def _compare(threshold: float, axes: dict[int, np.ndarray]):
         same = bool((pdf["side"] == 0).all())
         right = left if same else np.flatnonzero(pdf["side"].to_numpy() == 1)
         links = np.zeros(len(vec), np.int64)
-        forest = Forest()
+        label = np.arange(len(vec))  # rows are in order of vec within a side: see lowest_linked
         for lo in range(0, len(left), TILE):
             for ro in range(lo if same else 0, len(right), TILE):
                 l_rows, r_rows = left[lo : lo + TILE], right[ro : ro + TILE]
@@ -89,9 +107,8 @@ def _compare(threshold: float, axes: dict[int, np.ndarray]):
                     p, q = p[ok], q[ok]
                     np.add.at(links, p, weight[q])
                     np.add.at(links, q, weight[p])
-                    for u, v in zip(vec[p].tolist(), vec[q].tolist(), strict=True):
-                        forest.join(u, v)
-        up = [forest.root(v) for v in vec.tolist()]
+                    label = lowest_linked(label, p, q)
+        up = vec[label]
         out = pd.DataFrame({"vec": vec, "links": links, "up": up})
         return out[out["links"] > 0]
 
@@ -126,10 +143,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample_rows: in
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first = []
-            for e in b["embedding"].to_pylist():
-                x = np.array(e)
-                first.append(float(x @ axes[len(e)][:, 0] / np.sqrt(x @ x)))
+            dim = b["dim"].to_numpy()
+            flat, ends = b["embedding"].flatten().to_numpy(), np.cumsum(dim)
+            first = np.zeros(len(dim))
+            for d in np.unique(dim):
+                rows = np.flatnonzero(dim == d)
+                x = flat[(ends[rows] - d)[:, None] + np.arange(d)]
+                first[rows] = x @ axes[int(d)][:, 0] / np.sqrt((x * x).sum(1))
             yield pa.RecordBatch.from_arrays([b["label"].cast(pa.string()), b["dim"], b["vec"], b["copies"], b["embedding"], pa.array(first, pa.float64())], ["label", "dim", "vec", "copies", "embedding", "first"])
 
     flat = classes.mapInArrow(project, "label string, dim int, vec long, copies long, embedding array<double>, first double")
@@ -141,7 +161,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample_rows: in
     placed = flat.join(cuts, ["label", "dim"]).withColumn("tile", F.expr("least(size(filter(ends, e -> e < first)), tiles - 1)"))
     # a range of the first axis can hold more than TILE rows at large scale: hash it further
     placed = stored(placed, "embedding-tiles")
-    spans = placed.groupBy("label", "dim", "tile").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / (4 * TILE)).cast("int"))
+    spans = placed.groupBy("label", "dim", "tile").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / UNIT).cast("int"))
     units = spans.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("label", "dim", "lo", "hi", "parts", "tile", "part", F.concat_ws(".", "tile", "part").alias("unit"))
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
     a, b = units.alias("a"), units.alias("b")

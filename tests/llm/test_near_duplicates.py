@@ -156,6 +156,20 @@ def test_embeddings_equal_brute_force(spark):
     assert n == 0 and embedding_dedup.op6_rows(df.limit(0)).count() == 0 and embedding_dedup.op6_rows(df.where("vec_id between 400 and 405")).count() == 6
 
 
+def test_links_at_the_threshold_and_labels_of_chains(spark):
+    # cosines of 0.98 exactly and just below, in double precision
+    at, below = [0.98, float(np.sqrt(1 - 0.98**2))], [0.9799, float(np.sqrt(1 - 0.9799**2))]
+    cos = lambda v: v[0] / np.sqrt(v[0] * v[0] + v[1] * v[1])
+    rows = [(1, [1.0, 0.0], 1), (2, at, 1), (3, [1.0, 0.0], 2), (4, below, 2), (1, [1.0, 0.0], 1), (6, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as n_links", "'k' as kept")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.op6_rows(df).collect())
+    links = 1 if cos(at) >= 0.98 else 0
+    assert got == [(1, 1 + links, 1), (1, 1 + links, 1), (2, 2 * links, 1 if links else 2), (3, 0, 3), (4, 0, 4), (6, 0, 6)]
+    chain = np.random.default_rng(1).permutation(500)
+    label = embedding_dedup.lowest_linked(np.arange(600), chain[:-1], chain[1:])
+    assert (label[:500] == 0).all() and (label[500:] == np.arange(500, 600)).all()
+
+
 def test_tiles_drop_only_what_cannot_reach():
     rng = np.random.default_rng(2)
     a = rng.normal(size=(70, 32))

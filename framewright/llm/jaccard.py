@@ -33,6 +33,7 @@ TABLE_BITS = 22
 TABLE_PARTS = 64
 SHORT_RUN = 48
 HOT_RUN, PART_RUN = 4096, 2048
+RUN_PARTS = 16
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -384,7 +385,10 @@ class JaccardJoin:
         """
         placed = self.place(waiting, comps)
         split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        placed = stored(placed.join(split, "token", "left_semi").select("token", "key", "n", "comp"), "jaccard-open")
+        # a run may hold most of all rows: it is met in parts by key
+        split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(RUN_PARTS - 1))))
+        placed = placed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(RUN_PARTS)).cast("int"))
+        placed = stored(placed.join(split, ["token", "part"], "left_semi").select("token", "key", "n", "comp"), "jaccard-open")
         if placed.limit(1).count() == 0:
             return None
         groups = connected_components(placed.select(F.col("token").alias("a"), F.col("key").alias("b")))

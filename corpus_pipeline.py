@@ -40,7 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = jaccard.JaccardJoin(docs, threshold=SHARED, words_per=SHINGLE_WORDS).run()
     # most rows stay: those to leave out are the smaller side; an id alone doesn't tell two texts of it apart
     drop = rows.where("not first").select(F.col("doc_id").alias("left_out"), F.col("text_hash").alias("left_out_hash")).distinct()
-    kept = docs.join(drop, (F.col("doc_id") == F.col("left_out")) & (F.xxhash64("text") == F.col("left_out_hash")), "left_anti")
+    kept = docs.join(drop, (docs["doc_id"] == drop["left_out"]) & (F.xxhash64(docs["text"]) == drop["left_out_hash"]), "left_anti")
     twice = stored(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if twice.limit(1).count() == 0:
         return kept

@@ -20,7 +20,7 @@ from framewright.functions import jpeg
 from framewright.functions import scene as sc
 from framewright.operators import lockfile as lk
 from framewright.operators import validate
-from framewright.queries import _FILES, _files, _sine_sql, query, table
+from framewright.queries import _FILES, _files, _sine_sql, _word, query, table
 
 # ---------------------------------------------------------------- files in SQL
 
@@ -528,3 +528,24 @@ def backdrops_by_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield from ((n, name, y, x, v) for x, v in enumerate(row))
 
     return per_nation(spark, sf_dir, make, "n_nationkey long, kind string, y long, x long, v long")
+
+
+def _blob(i: str, draw: int, below: int) -> str:
+    return f"({_word('n_nationkey::UHUGEINT', f'(6 * {i} + {draw})')} % {below})::BIGINT"
+
+
+@query(f"""
+WITH d AS MATERIALIZED (SELECT n_nationkey, i, {_blob('i', 1, 16)} AS cx, {_blob('i', 2, 16)} AS cy, 2 + {_blob('i', 3, 4)} AS r, {_blob('i', 4, 256)} AS red, {_blob('i', 5, 256)} AS green, {_blob('i', 6, 256)} AS blue FROM nation, range(5) t(i)),
+p AS (SELECT n_nationkey, x, y FROM nation, range(16) a(x), range(16) b(y))
+SELECT p.n_nationkey::BIGINT AS n_nationkey, x::BIGINT AS x, y::BIGINT AS y, coalesce(arg_max(red, i), 0) AS red, coalesce(arg_max(green, i), 0) AS green, coalesce(arg_max(blue, i), 0) AS blue
+FROM p LEFT JOIN d ON d.n_nationkey = p.n_nationkey AND (2 * x + 1 - 2 * cx) * (2 * x + 1 - 2 * cx) + (2 * y + 1 - 2 * cy) * (2 * y + 1 - 2 * cy) <= 4 * r * r GROUP BY 1, 2, 3
+""")
+def blobs_by_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discs drawn one after another from one stream: place, radius, colour; later ones cover."""
+
+    def make(n: int):
+        px = sc.backdrop({"kind": "blobs", "seed": n, "count": 5, "radii": (2, 5)}, 16, 16)
+        for y, row in enumerate(px.tolist()):
+            yield from ((n, x, y, *colour) for x, colour in enumerate(row))
+
+    return per_nation(spark, sf_dir, make, "n_nationkey long, x long, y long, red long, green long, blue long")

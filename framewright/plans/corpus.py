@@ -215,14 +215,20 @@ def artifacts(entries: DataFrame) -> DataFrame:
     return digests(artifact_bytes(entries).where("error is null"))
 
 
-def select_entries(entries: DataFrame, only: list[str], strict: bool = False) -> DataFrame:
-    """Entries by name, all if none is asked for; with ``strict`` a name that there is not raises."""
-    if not only:
-        return entries
-    want = entries.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(only)], "name string")
-    if strict and (unknown := [r[0] for r in want.join(entries, "name", "left_anti").collect()]):
+def select_entries(entries: DataFrame, only: list[str] | DataFrame, strict: bool = False) -> DataFrame:
+    """Entries by name, all if an empty list asks for none; with ``strict`` a name that there is not raises.
+
+    Names are a list, which is broadcast, or the column ``name`` of a table, which is joined.
+    """
+    if isinstance(only, list):
+        if not only:
+            return entries
+        want = SF.broadcast(entries.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(only)], "name string"))
+    else:
+        want = only.select("name").distinct()
+    if strict and (unknown := [r[0] for r in want.join(entries, "name", "left_anti").limit(10).collect()]):
         raise ValueError(f"no entry is called {', '.join(sorted(unknown))}")
-    return entries.join(SF.broadcast(want), "name", "left_semi")
+    return entries.join(want, "name", "left_semi").select(entries.columns)
 
 
 def publish(entries: DataFrame, out_dir: str, dry_run: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ from framewright.operators import lockfile as lk
 from framewright.operators import motion as mo
 from framewright.plans import catalogue as ct
 from framewright.plans import corpus as co
+from framewright.plans.catalogue_names import NAMES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -769,11 +770,12 @@ def entry_name_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("o_orderkey", file.alias("file")).withColumn("entry", entry)
 
 
-@query(f"SELECT o_orderkey, name FROM ({_NAME_SQL}) WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+@query(f"WITH n AS (SELECT o_orderkey, name FROM ({_NAME_SQL})) SELECT o_orderkey, name FROM n WHERE name IN (SELECT name FROM n WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49))")
 def selected_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries asked for, by a semi-join."""
-    want = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _names(spark, sf_dir).join(want, "o_orderkey", "left_semi").select("o_orderkey", "name")
+    names = _names(spark, sf_dir).select("o_orderkey", "name")
+    want = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey")).join(names, "o_orderkey")
+    return co.select_entries(names, want, strict=True)
 
 
 _PAIRS = "WITH axes(axis, size) AS (VALUES " + ", ".join(f"({i}, {n})" for i, n in enumerate(ct.SIZES)) + """),
@@ -807,7 +809,7 @@ def covered_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("pairs"), F.count("have").alias("covered")).withColumn("entries", c.lit(len(array)))
 
 
-@query()
+@query("SELECT ord::INTEGER AS ord, name FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(NAMES)) + ") t(ord, name)")
 def covering_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue's entries in order: the array, two single entries, nine with capture rates."""
     return co.catalogue(spark).select("ord", "name")

@@ -146,3 +146,33 @@ def test_failed_writes_leave_nothing_behind(spark, tmp_path):
     done = {r["name"]: r["error"] for r in corpus.publish(entries, str(tmp_path)).collect()}
     assert done[f"{name}.json"] and done[f"{name}-media.mp4"] is None
     assert sorted(p.name for p in tmp_path.iterdir()) == [f"{name}-media.mp4", f"{name}.json"]
+
+
+def test_covering_array_equals_plain_greedy(spark):
+    pairs = sorted(tuple(r) for r in catalogue.pair_obligations(spark).collect())
+    axes = list(catalogue.AXES.values())
+    left, want = set(pairs), []
+
+    def allowed(axis, row):
+        container, coding, size, count = axes[7][row[7]], axes[6][row[6]], axes[0][row[0]], axes[1][row[1]]
+        if axis in (7, 10) and catalogue.NEEDS[row[10]] not in (None, container):
+            return False
+        if axis in (0, 1) and size[0] * size[1] * count > 10_000_000:
+            return False
+        return axis not in (0, 1, 6, 7) or coding != "raw" or count * (size[0] * size[1] * 3 + 16) < 2**32
+
+    cells = lambda row: {(i, row[i], j, row[j]) for i in range(len(row)) for j in range(i + 1, len(row))}
+    for a, va, b, vb in pairs:
+        if (a, va, b, vb) in left:
+            row = [0] * len(axes)
+            row[a], row[b] = va, vb
+            for axis in set(range(len(axes))) - {a, b}:
+                tried = []
+                for value in range(len(axes[axis])):
+                    row[axis] = value
+                    if allowed(axis, row):
+                        tried.append((len(cells(row) & left), -value))
+                row[axis] = -max(tried)[1]
+            left -= cells(row)
+            want.append(tuple(row))
+    assert catalogue.covering_array(pairs) == want and not left

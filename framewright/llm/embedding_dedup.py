@@ -121,7 +121,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample_rows: in
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null
     label or id, link with nothing; vectors of different lengths do not link.  Repeated rows with
     one vec_id count as separate vectors with that id.  ``sample_rows`` bounds the rows that the PCA
-    is fitted on; the axes only order the work, the result does not depend on them.
+    is fitted on; the axes only order the work, the result does not depend on them.  Cosines of exactly
+    ``threshold`` link.  Further columns are not carried; the table may be empty.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

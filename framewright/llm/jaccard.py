@@ -32,7 +32,7 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 TABLE_BITS = 22
 TABLE_PARTS = 64
 SHORT_RUN = 48
-HOT_RUN, PART_RUN = 4096, 2048
+HOT_RUN, PART_RUN = 4096, 2048  # documents of a shingle above the usual from which on its run is split, and rows in a part
 RUN_PARTS = 16
 
 
@@ -136,15 +136,20 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], ["part", "counts"])
 
 
-def split_parts(rarity: np.ndarray) -> np.ndarray:
-    """Parts that a shingle's run is dealt to, by its rarity class: 1 up to HOT_RUN documents, else one for each PART_RUN."""
+def split_parts(rarity: np.ndarray, usual: float) -> np.ndarray:
+    """Parts that a shingle's run is dealt to, by its rarity class: 1, or of a very frequent one as many as have PART_RUN rows each.
+
+    ``usual`` is the mean count of the table's buckets, which grows with the corpus; a bucket counts
+    as that of a very frequent shingle only where it stands out from what is usual.
+    """
     count = np.exp2(rarity / 8.0)
-    return np.where(count > HOT_RUN, np.ceil(count / PART_RUN), 1).astype(np.uint64)
+    return np.where(count > HOT_RUN + 4 * usual, np.ceil((count - usual) / PART_RUN), 1).astype(np.uint64)
 
 
 def _prefixes(words_per: int, t: int, table, bits: int, shared: frozenset[int], keys_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = np.frombuffer(table.value, np.uint8)
+        usual = float((np.bincount(rare, minlength=256) * (np.exp2(np.arange(256) / 8.0) - 1)).sum() / len(rare))
         seen: set[int] = set()
         for b in batches:
             toks, salts, keys, ns, poss = [], [], [], [], []
@@ -159,7 +164,7 @@ def _prefixes(words_per: int, t: int, table, bits: int, shared: frozenset[int],
                 order = (rare[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
                 first = first[np.lexsort((s[first], order[first]))]
-                parts = split_parts(order[first] >> np.uint64(56))
+                parts = split_parts(order[first] >> np.uint64(56), usual)
                 # rows of a very frequent shingle are dealt by their keys; -1 for all others
                 own = int(scramble(np.array([key], np.int64).view(np.uint64))[0])
                 salts.append(np.where(parts > 1, (np.uint64(own) % parts).astype(np.int64), -1).astype(np.int32))

@@ -66,7 +66,7 @@ def test_components_equal_brute_force(spark, monkeypatch, short):
 @pytest.mark.parametrize("part", [3, 20])
 def test_split_runs_equal_brute_force(spark, monkeypatch, part):
     """With runs dealt to many parts, and with keys that unequal sets share, components are the same."""
-    monkeypatch.setattr(jaccard, "split_parts", lambda rarity: np.where(rarity > 8, part, 1).astype(np.uint64))
+    monkeypatch.setattr(jaccard, "split_parts", lambda rarity, usual: np.where(rarity > 8, part, 1).astype(np.uint64))
     plain = jaccard.set_keys
     few_keys = lambda s: (plain(s)[0] % 40, plain(s)[1])
     docs = corpus(5)
@@ -76,6 +76,13 @@ def test_split_runs_equal_brute_force(spark, monkeypatch, part):
     assert {r["doc_id"]: r["component"] for r in got} == roots(sets, pairs)
 
 
+def test_only_shingles_that_stand_out_are_split():
+    classes = lambda *counts: np.rint(8 * np.log2(1.0 + np.array(counts)))
+    assert jaccard.split_parts(classes(1, 4000, 9000), 3.0).tolist()[:2] == [1, 1] and jaccard.split_parts(classes(9000), 3.0)[0] >= 4
+    # in a large corpus all buckets are full
+    assert jaccard.split_parts(classes(1_000_000, 3_000_000), 1e6).tolist() == [1, 1] and jaccard.split_parts(classes(50_000_000), 1e6)[0] > 20_000
+
+
 def test_runs_over_many_batches():
     rng = np.random.default_rng(1)
     tok = np.sort(rng.integers(0, 30, 500))

@@ -44,12 +44,6 @@ def lockfile_digest(entries: DataFrame) -> DataFrame:
     return ordered.select(line(F.col("name"), F.col("digest"), F.col("length")).alias("line")).mapInArrow(run, "digest string, n long")
 
 
-def lockfile_text(entries: DataFrame) -> DataFrame:
-    """The whole file as one value: for files of the catalogue's size, not for unbounded tables."""
-    rows = F.array_sort(F.collect_list(F.struct("name", "digest", "length")))
-    return entries.agg(F.array_join(F.transform(rows, lambda r: F.concat(line(r["name"], r["digest"], r["length"]), F.lit("\n"))), "").alias("text"))
-
-
 def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     """Adds name, digest, length and error: null, or what is wrong with the line.  Blank lines are dropped."""
     parts = F.split(F.col(column), " ", -1)

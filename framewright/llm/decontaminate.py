@@ -36,7 +36,7 @@ from framewright.llm.common import stored
 K1, B = 1.2, 0.75
 BLOCK = 16
 GRAM = 4
-WIDTH_STEP = 16  # items are searched in passages four times their length, rounded up to this
+WIDTH_STEP = 64  # items are searched in passages four times their length, rounded up to this
 INDEX_BYTES = 64 << 20
 TABLE = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 OTHER_MARKS = re.compile(r"[^\w\s\x00-\x7f]+")

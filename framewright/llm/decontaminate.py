@@ -118,6 +118,7 @@ class Bm25Index:
         rows: list[tuple[bytes, int, float]] = []
         for k, (item_id, text, terms, tfs, dfs) in enumerate(items):
             size = sum(tfs)
+            terms, tfs, dfs = zip(*sorted(zip(terms, tfs, dfs, strict=True)), strict=True)
             raw = [whole.impact(tf, df, size) for tf, df in zip(tfs, dfs, strict=True)]
             own = sum(raw)
             rows += [(t, k, v / own) for t, v in zip(terms, raw, strict=True)]
@@ -175,7 +176,7 @@ class Bm25Index:
         need = threshold - 1e-9
         if sum(x.most for x in held) < need:
             return []
-        lists = [[0, x.most, x.places, x.blocks] for x in held]
+        lists = [[0, x.most, x.places, x.blocks, k] for k, x in enumerate(held)]
         out = []
         while lists:
             lists.sort(key=lambda x: x[3][x[0]])
@@ -192,7 +193,8 @@ class Bm25Index:
                 while x[0] < len(x[3]) and x[3][x[0]] < pivot:
                     x[0] += 1
             lists = [x for x in lists if x[0] < len(x[3])]
-            here = [x for x in lists if x[3][x[0]] == pivot]
+            # summed in the order given, so that equal passages get equal scores in any index
+            here = sorted((x for x in lists if x[3][x[0]] == pivot), key=lambda x: x[4])
             if sum(self.block_max[x[2][x[0]]] for x in here) >= need:
                 scores = np.zeros(BLOCK)
                 for x in here:
@@ -245,7 +247,7 @@ class Searcher:
             lists = ix.lists(ids, np.array(sorted(near)))
             for lo, hi in passages(len(words), width):
                 grams: dict[int, set] = {}
-                for k, score in ix.search([lists[t] for t in set(at[lo:hi]) if t in lists], self.limits.score):
+                for k, score in ix.search([lists[t] for t in sorted(set(at[lo:hi])) if t in lists], self.limits.score):
                     item = ix.items[k]
                     if item.width != width:
                         continue

@@ -334,6 +334,12 @@ def _verify(t: int):
     return run
 
 
+def join_in_parts(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with a table of one row per ``on``, which most rows may share: met in RUN_PARTS parts by key."""
+    part = F.explode(F.sequence(F.lit(0), F.lit(RUN_PARTS - 1)))
+    return rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(RUN_PARTS)).cast("int")).join(small.withColumn("part", part), [*on, "part"]).drop("part")
+
+
 class JaccardJoin:
     """Components of documents whose shingle sets have 100 * intersection >= threshold * union."""
 
@@ -390,10 +396,7 @@ class JaccardJoin:
         """
         placed = self.place(waiting, comps)
         split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        # a run may hold most of all rows: it is met in parts by key
-        split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(RUN_PARTS - 1))))
-        placed = placed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(RUN_PARTS)).cast("int"))
-        placed = stored(placed.join(split, ["token", "part"], "left_semi").select("token", "key", "n", "comp"), "jaccard-open")
+        placed = stored(join_in_parts(placed, split, ["token"]).select("token", "key", "n", "comp"), "jaccard-open")
         if placed.limit(1).count() == 0:
             return None
         groups = connected_components(placed.select(F.col("token").alias("a"), F.col("key").alias("b")))
@@ -401,14 +404,14 @@ class JaccardJoin:
         rows = placed.select("key", "n", "comp").distinct().join(groups.select(F.col("node").alias("key"), F.col("component").alias("grp")), "key")
         rows = stored(rows.withColumn("len", F.floor(F.log(F.col("n")) / step).cast("int") if self.t < 100 else F.col("n").cast("int")), "jaccard-groups")
         main = rows.groupBy("grp", "comp").agg(F.count("*").alias("rows")).groupBy("grp").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"))
-        rows = rows.join(main, "grp").withColumn("few", F.col("comp") != F.col("main"))
+        rows = join_in_parts(rows, main, ["grp"]).withColumn("few", F.col("comp") != F.col("main"))
         need = lambda x: F.greatest(F.lit(0), F.ceil(F.count(x) / F.lit(tile) + F.coalesce(F.sum(F.when(x.isNotNull(), F.col("n"))), F.lit(0)) / F.lit(tile_items))).cast("int")
         parts = stored(rows.groupBy("grp", "len").agg(need(F.col("key")).alias("t_all"), need(F.when(F.col("few"), F.col("key"))).alias("t_few")), "jaccard-parts")
         # for each bucket of lengths, those beside it that its rows meet
         near = parts.select("grp", "len", F.explode(F.array(F.col("len") - 1, F.col("len"), F.col("len") + 1)).alias("other"))
         met = near.join(parts.select("grp", F.col("len").alias("other"), F.col("t_all").alias("o_all"), F.col("t_few").alias("o_few")), ["grp", "other"])
         met = met.groupBy("grp", "len").agg(F.collect_list(F.struct("other", "o_all", "o_few")).alias("met")).join(parts, ["grp", "len"])
-        rows = rows.join(met, ["grp", "len"])
+        rows = join_in_parts(rows, met, ["grp", "len"])
         rows = stored(rows.join(self.members(rows.select("key").distinct()), "key"), "jaccard-group-sets")
         own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
         # a tile is a part i of all rows of bucket x and a part j of the few of bucket y

@@ -166,10 +166,10 @@ class CachedTokenizer:
 
     LONG = 64
     ENTRY = 200  # bytes of an entry besides its characters and ids
-    SLICE = 2_000_000  # characters of texts whose new pieces are encoded together
-    JOINED = 500  # pieces in one call of the library
+    SLICE = 500_000  # characters of texts whose new pieces are encoded together
+    JOINED = 200  # pieces in one call of the library
 
-    def __init__(self, path: str, width: int = 4, memory: int = 160_000_000, special_strings: bool = True) -> None:
+    def __init__(self, path: str, width: int = 4, memory: int = 240_000_000, special_strings: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -277,7 +277,7 @@ class CachedTokenizer:
         found = {w: old[w] for w in again}
         new = missing - again
         # letters and then marks are two pre-tokens: only the letters' ids may be new
-        marked = {w: b for w in new if (b := w.rstrip(MARKS)) != w and b.isalpha() and len(w) - len(b) <= 3 and not NOT_LATIN.search(b)}
+        marked = {w: b for w in new if w[-1:] in MARKS and (b := w.rstrip(MARKS)).isalpha() and len(w) - len(b) <= 3 and (b.isascii() or not NOT_LATIN.search(b))}
         bases = set(marked.values())
         found.update({b: ids for b in bases - new if (ids := young.get(b) or old.get(b) or found.get(b))})
         todo = list((new - marked.keys()) | (bases - found.keys()))

@@ -14,7 +14,6 @@ import io
 import json
 import os
 import re
-import string
 import struct
 import uuid
 import zlib
@@ -22,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyarrow import fs as pafs
@@ -35,13 +35,19 @@ FOOTER = struct.Struct("<QIII8s")  # table start, frames, documents, crc32 of th
 MARK = b"TOKSEEK1"
 FRAME_IDS = 1 << 16
 SHARD_BYTES = 64 << 20
+ROWS = 1000  # of a batch, encoded and sent on together
 #: White space other than the space and the line feed.
 ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 OTHER_SPACE = ASCII_SPACE + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Fixed value: the split pattern of the library's byte-level pre-tokeniser.
 LATIN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-
-MARKS = string.punctuation
+#: Stands in texts where they are cut; it is white space, so texts that have it are not cut so.
+CUT = "\x1f"
+WORD_END = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
+SPACE = " \n" + OTHER_SPACE.replace(CUT, "")
+LINE_END = f"([^{SPACE}])\n([^{SPACE}])"
+#: A space next to other white space; what cuts before such spaces look like.
+SPACES, AFTER_SPACE, BEFORE_SPACE = f"[{SPACE}] | [{SPACE}]", f"([{SPACE}]){CUT}", f"{CUT}( [{SPACE}])"
 NOT_LATIN = re.compile("[^\\x00-\\u024f]")
 #: A piece that ends in white space, or starts with other than a space of its own.
 UNSURE = re.compile(r"\s\t|\t[^\S ]|\t \s")
@@ -152,10 +158,13 @@ class CachedTokenizer:
     """The tokenizers library over a byte-level vocabulary, called once per new word, many words at a time.
 
     In such a vocabulary no pre-token spans a single space between two characters that are not white
-    space, and what follows is pre-tokenised alike wherever it stands.  So texts are cut there, pieces
-    are looked up, and only new ones go through the library, hundreds in a call: joined by tabs, which
+    space, nor a letter and a punctuation mark, nor a line feed and what is not white space beside it;
+    what follows is pre-tokenised alike wherever it stands.  So texts are cut there (by Arrow, many
+    texts at once; in Python, and at spaces only, if they hold ``CUT``), different pieces are looked up,
+    and only new ones go through the library, hundreds in a call: through its model, joined by a byte
+    that no merge rule has; pieces that are not a word of Latin letters first, joined by tabs, which
     come out as pre-tokens of their own, through its pre-tokeniser (of Latin text its pattern is run by
-    the regex module, four times as fast); joined by a byte that no merge rule has, through its model.
+    the regex module, four times as fast).
     Ids equal ``Tokenizer.encode(text, add_special_tokens=False)``; a text that holds a special
     token's string goes through that call as a whole, as do long pieces.  ``special_strings`` False
     makes such strings ordinary text.
@@ -166,10 +175,10 @@ class CachedTokenizer:
 
     LONG = 64
     ENTRY = 200  # bytes of an entry besides its characters and ids
-    SLICE = 500_000  # characters of texts whose new pieces are encoded together
+    SLICE = 4_000_000  # characters of texts whose new pieces are encoded together
     JOINED = 200  # pieces in one call of the library
 
-    def __init__(self, path: str, width: int = 4, memory: int = 240_000_000, special_strings: bool = True) -> None:
+    def __init__(self, path: str, width: int = 4, memory: int = 200_000_000, special_strings: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -198,7 +207,7 @@ class CachedTokenizer:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
-        self.marks: dict[str, bytes] = {}  # ids of up to three marks: 32 + 32^2 + 32^3 at most
+        self.odd = "|".join([CUT, *map(re.escape, self.strings)])  # texts that Arrow does not cut
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -220,83 +229,114 @@ class CachedTokenizer:
         """Ids of a text by the library's plain call."""
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def new(self, pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of pieces, each with ``lead`` before it, as if it were a text."""
+    def new(self, texts: list[str]) -> list[bytes]:
+        """Ids of pieces as texts of their own, a space before included."""
+        words = [t for t in texts if t.removeprefix(" ").isalpha() and len(t) <= self.LONG and (t.isascii() or not NOT_LATIN.search(t))]
+        made: dict[str, bytes] = {}
+        for k in range(0, len(words), self.JOINED):
+            group = words[k : k + self.JOINED]
+            made.update(zip(group, self.cut(self.model(self.spelt(group)), self.gap_id), strict=True))
+        rest = [t for t in texts if t not in made]
+        made.update(zip(rest, self.mixed(rest), strict=True))
+        return [made[t] for t in texts]
+
+    def mixed(self, texts: list[str]) -> list[bytes]:
+        """Ids of pieces of any number of pre-tokens."""
         out: list[bytes] = []
-        width = self.kind.itemsize
-        for k in range(0, len(pieces), self.JOINED):
-            group = pieces[k : k + self.JOINED]
-            joined = lead + ("\t" + lead).join(group)
+        for k in range(0, len(texts), self.JOINED):
+            group = texts[k : k + self.JOINED]
+            joined = "\t".join(group)
             if joined.count("\t") >= len(group) or self.gap in joined or max(map(len, group)) > self.LONG or UNSURE.search(f"\t{joined}\t") or not all(group):
                 if len(group) == 1:
                     out.append(self.whole(joined) if joined else b"")
                 else:
                     half = len(group) // 2
-                    out += self.new(group[:half], lead) + self.new(group[half:], lead)
+                    out += self.mixed(group[:half]) + self.mixed(group[half:])
                 continue
-            spelt = self.other(joined) if NOT_LATIN.search(joined) else self.latin(joined)
-            ids = np.array(self.bare.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, self.kind)
-            ids = ids[ids != self.gap_id]
-            tabs = width * np.flatnonzero(ids == self.tab_id)
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip(np.r_[0, tabs + width].tolist(), np.r_[tabs, len(data)].tolist(), strict=True)]
+            ids = self.model(self.other(joined) if NOT_LATIN.search(joined) else self.spelt(LATIN.findall(joined)))
+            out += self.cut(ids[ids != self.gap_id], self.tab_id)
         return out
 
-    def latin(self, text: str) -> str:
-        """Pre-tokens in the byte alphabet with gaps between, by the pattern."""
-        return self.gap.join(LATIN.findall(text)).encode("utf-8").decode("latin-1").translate(self.alphabet)
+    def model(self, text: str) -> np.ndarray:
+        """Ids of pre-tokens in the byte alphabet with gaps between, by the library's model; gaps included."""
+        return np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    @staticmethod
+    def cut(ids: np.ndarray, at: int) -> list[bytes]:
+        """What stands between the ids ``at``."""
+        data, width = ids.tobytes(), ids.itemsize
+        ends = width * np.flatnonzero(ids == at)
+        return [data[a:b] for a, b in zip([0, *(ends + width).tolist()], [*ends.tolist(), len(data)], strict=True)]
+
+    def spelt(self, tokens: list[str]) -> str:
+        """Pre-tokens in the byte alphabet with gaps between."""
+        return self.gap.join(tokens).encode("utf-8").decode("latin-1").translate(self.alphabet)
 
     def other(self, text: str) -> str:
-        """Pre-tokens in the byte alphabet with gaps between, by the library."""
+        """A text's pre-tokens in the byte alphabet with gaps between, by the library."""
         return self.alphabet[ord(self.gap)].join([t for t, _ in self.pre.pre_tokenize_str(text)])
 
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """Ids of different pieces as texts of their own, from the tables or else by the library."""
+        out = list(map(self.young.get, texts))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if self.old:
+            for i in missing:
+                out[i] = self.old.get(texts[i])
+        new = [i for i in missing if out[i] is None]
+        for i, ids in zip(new, self.new([texts[i] for i in new]), strict=True):
+            out[i] = ids
+        found = {t: out[i] for i in missing if len(t := texts[i]) <= self.LONG}
+        self.young.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + self.ENTRY * len(found)
+        if self.held > self.memory // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        return out
+
     def encode_many(self, texts: list[str | None], tail: bytes = b"") -> list[bytes]:
         """The ids of each text as little-endian unsigned integers, ``tail`` after each; a null text is an empty one."""
         out: list[bytes] = []
         at = 0
         while at < len(texts):
-            parts, room = [], self.SLICE
+            some, room = [], self.SLICE
             while at < len(texts) and room > 0:
-                t = texts[at] or ""
-                room -= len(t)
-                parts.append(t if any(s in t for s in self.strings) else self.pieces(t))
+                some.append(texts[at] or "")
+                room -= len(some[-1])
                 at += 1
-            out += self._encode_pieces(parts, tail)
+            column = pa.array(some, pa.large_string())
+            odd = pc.match_substring_regex(column, self.odd)
+            plain = iter(self._encode_plain(column.filter(pc.invert(odd)), tail))
+            rest = iter(self._encode_odd(column.filter(odd).to_pylist(), tail))
+            out += [next(rest if x else plain) for x in odd.to_pylist()]
         return out
 
-    def _encode_pieces(self, parts: list, tail: bytes) -> list[bytes]:
-        """Ids of texts given as their pieces, or as strings that the library takes whole."""
-        young = self.young
-        missing: set[str] = set()
-        heads = {p[0] for p in parts if type(p) is list}
+    def _encode_plain(self, texts: pa.LargeStringArray, tail: bytes) -> list[bytes]:
+        """Ids of texts that ``odd`` does not match."""
+        spaces = pc.any(pc.match_substring_regex(texts, SPACES)).as_py()
+        texts = pc.replace_substring(texts, " ", f"{CUT} ")
+        if spaces:
+            texts = pc.replace_substring_regex(pc.replace_substring_regex(texts, AFTER_SPACE, r"\1"), BEFORE_SPACE, r"\1")
+        texts = pc.replace_substring_regex(texts, WORD_END, rf"\1{CUT}\2")
+        texts = pc.replace_substring_regex(texts, LINE_END, f"\\1{CUT}\n{CUT}\\2")
+        pieces = pc.split_pattern(texts, CUT)
+        bounds = pieces.offsets.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        ids = pa.array(self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        if not len(ids):
+            return []
+        _, ends, data = ids.buffers()
+        ends, data = np.frombuffer(ends, np.int64, len(ids) + 1)[bounds].tolist(), memoryview(data or b"")
+        return [b"".join((data[a:b], tail)) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _encode_odd(self, texts: list[str], tail: bytes) -> list[bytes]:
+        """Ids of any texts."""
+        parts = [t if any(s in t for s in self.strings) else self.pieces(t) for t in texts]
         for p in parts:
             if type(p) is list:
-                missing.update(set(p[1:]).difference(young))
-        old = self.old
-        again = missing & old.keys() if old else set()
-        found = {w: old[w] for w in again}
-        new = missing - again
-        # letters and then marks are two pre-tokens: only the letters' ids may be new
-        marked = {w: b for w in new if w[-1:] in MARKS and (b := w.rstrip(MARKS)).isalpha() and len(w) - len(b) <= 3 and (b.isascii() or not NOT_LATIN.search(b))}
-        bases = set(marked.values())
-        found.update({b: ids for b in bases - new if (ids := young.get(b) or old.get(b) or found.get(b))})
-        todo = list((new - marked.keys()) | (bases - found.keys()))
-        found.update(zip(todo, self.new(todo, " "), strict=True))
-        ends = {w[len(b) :] for w, b in marked.items()} - self.marks.keys()
-        self.marks.update(zip(ends, self.new(list(ends), ""), strict=True))
-        found.update({w: found[b] + self.marks[w[len(b) :]] for w, b in marked.items()})
-        first = list(heads)
-        made = dict(zip(first, self.new(first, ""), strict=True))
-        long = {w: found.pop(w) for w in new if len(w) > self.LONG}
-        young.update(found)
-        self.held += sum(map(len, found)) + sum(map(len, found.values())) + self.ENTRY * len(found)
-        get = young.__getitem__
-        if long:
-            get = lambda w: young[w] if w in young else long[w]
-        out = [b"".join([made[p[0]], *map(get, p[1:]), tail]) if type(p) is list else self.whole(p) + tail for p in parts]
-        if self.held > self.memory // 2:
-            self.old, self.young, self.held = young, {}, 0
-        return out
+                p[1:] = [f" {w}" for w in p[1:]]
+        names = list(set().union(*(p for p in parts if type(p) is list)))
+        ids = dict(zip(names, self.ids_of(names), strict=True))
+        return [b"".join([*map(ids.__getitem__, p), tail]) if type(p) is list else self.whole(p) + tail for p in parts]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
@@ -360,7 +400,7 @@ def write_token_files(docs: DataFrame, out_dir: str, *, tokenizer: str | None =
         tool = tokenizer_of(tokenizer, width)
         tail = np.array([] if end_id is None else [end_id], tool.kind).tobytes()
         bounds = np.array(cuts, dtype=np.int64)
-        for b in batches:
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             data = tool.encode_many(b["text"].to_pylist(), tail)
             shard = shard_of(b["doc_id"].fill_null(-(2**63)).to_numpy(), data, bounds)
             crc = pa.array([zlib.crc32(x) for x in data], pa.int64())

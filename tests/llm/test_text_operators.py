@@ -65,6 +65,45 @@ def test_cached_tokenizer_is_the_library(special):
     assert (50256 in library.encode("a<|endoftext|> b", add_special_tokens=False).ids) == special
 
 
+def test_words_go_through_the_model_once(monkeypatch):
+    """However marks and lines stand between them: 1600 different pieces between spaces, of 40 words."""
+    tool = token_files.CachedTokenizer(token_files.default_tokenizer())
+    words = [f"{a}{b}" for a in ("onthe", "reti", "Überall", "añeja") for b in ("shon", "tion", "ed", "ê", "her", "an", "ouer", "st", "ble", "wh")]
+    texts = [f"{a}.\n{b} and" for a in words for b in words]
+    texts = [" ".join(texts[k : k + 40]) for k in range(0, 1600, 40)]
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, batch, bare=tool.bare, **options):
+            given.extend(batch)
+            return bare.encode_batch_fast(batch, **options)
+
+    monkeypatch.setattr(tool, "bare", Counted())
+    got = tool.encode_many(texts)
+    library = Tokenizer.from_file(token_files.default_tokenizer())
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert sum(map(len, given)) < 3000 < sum(map(len, texts)) // 10
+
+
+def test_cuts_are_where_no_pre_token_spans():
+    tool = token_files.CachedTokenizer(token_files.default_tokenizer(), memory=200_000)
+    library = Tokenizer.from_file(token_files.default_tokenizer())
+    rng = random.Random(8)
+    bits = ["a", "foo", " ", " ", "\n", "'s", "'", "'S", "é", "ñ", "×", "÷", "ª", "µ", "²", "½", "e\u0301", "\u0301", "12", "!!", ".", ",", "_", "(", " bar", "Baz.", ".\n", "\n\n", "日本", "🙂", "\0", "\\1", "x" * 70]
+    white = ["  ", "\t", "\r\n", "\x1f", "\x1c", "\x85", "\xa0", "\u3000", " \n", "\n "]
+    texts = ["".join(rng.choice(bits + white * (i % 2)) for _ in range(rng.randint(0, 25))) for i in range(6000)]
+    texts += [f"{c} {c}x{c}.\n{c}y{c}\n.{c} z" for c in map(chr, range(1, 0x250))]
+    for t, g, e in zip(texts, tool.encode_many(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(g, "<u4").tolist() == e.ids, t
+
+
+def test_batches_are_encoded_in_parts(spark, monkeypatch):
+    docs = messy(spark, noise(60, seed=9)).coalesce(1)
+    want = sorted(map(tuple, token_files.op4_rows(docs).collect()), key=lambda r: r[1])
+    monkeypatch.setattr(token_files, "ROWS", 7)
+    assert sorted(map(tuple, token_files.op4_rows(docs).collect()), key=lambda r: r[1]) == want and len(want) == 66
+
+
 def test_hot_ids_are_cut_within():
     data = [bytes([i]) for i in range(200)]
     ids = np.array([5] * 198 + [4, 6])

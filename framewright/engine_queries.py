@@ -19,6 +19,7 @@ from framewright.functions import geometry as g
 from framewright.functions import jpeg
 from framewright.functions import scene as sc
 from framewright.operators import lockfile as lk
+from framewright.operators import motion as mo
 from framewright.operators import validate
 from framewright.queries import _FILES, _files, _sine_sql, _word, query, table
 
@@ -139,6 +140,11 @@ def _digests(select: str) -> str:
     return f"SELECT s_suppkey, kind, md5(file) AS digest, (length(file) // 2)::BIGINT AS size FROM ({select})"
 
 
+def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, s_nationkey) of all suppliers, dealt to tasks."""
+    return mo.dealt(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("s_nationkey")), "s_suppkey")
+
+
 def media_rows(spark: SparkSession, sf_dir: str, make) -> DataFrame:
     """(s_suppkey, kind, digest, size) of what ``make`` gives for each supplier: (kind, bytes) pairs."""
 
@@ -150,7 +156,7 @@ def media_rows(spark: SparkSession, sf_dir: str, make) -> DataFrame:
                 rows += [(key, kind, None if data is None else hashlib.md5(data.hex().encode()).hexdigest(), None if data is None else len(data)) for kind, data in make(key, how)]
             yield pd.DataFrame(rows, columns=["s_suppkey", "kind", "digest", "size"])
 
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("s_nationkey")).mapInPandas(run, "s_suppkey long, kind string, digest string, size long")
+    return declared(spark, sf_dir).mapInPandas(run, "s_suppkey long, kind string, digest string, size long")
 
 
 def some_frames(key: int, sizes: tuple[int, ...]) -> list[bytes]:
@@ -229,7 +235,7 @@ def iso_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = list(_iso_faults())
 
     def make(key, how):
-        data = iso_of(key, how)
+        data = ct.Parsed(iso_of(key, how))
         return [(k, ct.inject(data, ISO_CALLS.get(k, (k, {}))[0], **ISO_CALLS.get(k, (k, {}))[1])) for k in kinds]
 
     return media_rows(spark, sf_dir, make)
@@ -258,7 +264,7 @@ def avi_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = list(_avi_faults())
 
     def make(key, how):
-        data = avi_of(key, how, "mjpeg")
+        data = ct.Parsed(avi_of(key, how, "mjpeg"))
         return [(k, ct.inject(data, AVI_CALLS.get(k, (k, {}))[0], **AVI_CALLS.get(k, (k, {}))[1])) for k in kinds]
 
     return media_rows(spark, sf_dir, make)
@@ -288,7 +294,7 @@ def container_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = []
             for key, nation in zip(pdf["s_suppkey"].tolist(), pdf["s_nationkey"].tolist(), strict=True):
                 how = {"rate": Fraction(nation + 24, key % 7 + 1), "width": nation + 1, "height": key % 50 + 1, "jpeg": key % 2 == 0, "turn": "identity"}
-                for data in (iso_of(key, how), avi_of(key, how, "mjpeg")):
+                for data in map(ct.Parsed, (iso_of(key, how), avi_of(key, how, "mjpeg"))):
                     kind, regions = ct.detect(data), ct.layout(data)
                     name = lambda s: f"#{s}" if isinstance(s, int) else s[0] + (f"[{s[1]}]" if s[1] else "")
                     rows += [(key, kind, "/".join(map(name, r.address)), r.start, r.end) for r in regions]
@@ -296,7 +302,7 @@ def container_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
                     rows.append((key, kind, "prefixes", cuts[0], cuts[-1] + 1 if cuts == list(range(len(data))) else -1))
             yield pd.DataFrame(rows, columns=["s_suppkey", "kind", "address", "first", "stop"])
 
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("s_nationkey")).mapInPandas(run, "s_suppkey long, kind string, address string, first long, stop long")
+    return declared(spark, sf_dir).mapInPandas(run, "s_suppkey long, kind string, address string, first long, stop long")
 
 
 # ---------------------------------------------------------------- declarations and differences

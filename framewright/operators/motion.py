@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows of a small table with much work in each, dealt by key: a file of one row group is read by one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def frames(entries: DataFrame, count: str = "frame_count") -> DataFrame:
     """Entries exploded to one row per frame, column ``frame`` from 0."""
     return entries.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)))

@@ -77,15 +77,15 @@ def sine(num: Column, den: Column, cosine: bool = False) -> Column:
     four = F.pmod(num * 4 + (den if cosine else lit(0)), den * 4)
     quadrant, rest = div(four, den), four % den
     up = F.when(quadrant % 2 == 0, rest).otherwise(den - rest)
-    u = F.least(lit(SINE_SCALE), div(up * SINE_SCALE + div(den, 2), den))
+    # the ends of a quarter give 0 and 1 by the polynomial as well; nothing below stands under a condition, so that
+    # generated code works each power out once, not once for each mention
+    u = F.when(up <= 0, lit(0)).when(up >= den, lit(SINE_SCALE)).otherwise(F.least(lit(SINE_SCALE), div(up * SINE_SCALE + div(den, 2), den)))
     two = div(u * u, SINE_SCALE)
     three = div(two * u, SINE_SCALE)
     five = div(div(two * two, SINE_SCALE) * u, SINE_SCALE)
     seven = div(div(three * three, SINE_SCALE) * u, SINE_SCALE)
     total = sum((c * p for c, p in zip(SINE_TERMS, (u, three, five, seven), strict=True)), lit(SINE_UNIT // 2))
-    value = F.greatest(lit(0), F.least(lit(SINE_SCALE), div(total, SINE_UNIT)))
-    value = F.when(up <= 0, lit(0)).when(up >= den, lit(SINE_SCALE)).otherwise(value)
-    return F.when(quadrant < 2, value).otherwise(-value)
+    return F.greatest(lit(0), F.least(lit(SINE_SCALE), div(total, SINE_UNIT))) * F.when(quadrant < 2, lit(1)).otherwise(lit(-1))
 
 
 def blend(src: Column, alpha: Column, dst: Column) -> Column:

@@ -341,7 +341,7 @@ FROM (SELECT * FROM ({_OBJECTS}), range(12) t(n)) o
 """)
 def motion_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of objects at frames; ballistic in 1/200, turning motions in 1/32768."""
-    t = mo.frames(_objects(spark, sf_dir))
+    t = mo.frames(mo.dealt(_objects(spark, sf_dir), "c_custkey"))
     n, x, y, vx, vy = (F.col(k) for k in ("frame", "x", "y", "vx", "vy"))
     lx, ly = x + vx * n, y + vy * n
     return t.select(
@@ -401,7 +401,8 @@ SELECT s_suppkey, n, s_suppkey % 50 AS px, s_nationkey AS py, {_sine_sql('s.n',
 """)
 def camera_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A camera that turns a sixteenth a frame and zooms over eight; entries in 1/32768 before zoom."""
-    t = mo.frames(table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50).alias("px"), F.col("s_nationkey").cast("long").alias("py"), F.lit(12).alias("frame_count")))
+    eye = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50).alias("px"), F.col("s_nationkey").cast("long").alias("py"), F.lit(12).alias("frame_count"))
+    t = mo.frames(mo.dealt(eye, "s_suppkey"))
     n, px, py = F.col("frame"), F.col("px"), F.col("py")
     # the camera's angle is undone: cosine of the angle, and minus the sine of its negative
     xx, xy = c.sine(n, c.lit(16), True), -c.sine(-n, c.lit(16))
